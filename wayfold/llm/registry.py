@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayfold.llm import best_fit_packing, quality_rules, secret_scan, simhash_dedup, source_mix, substring_dedup, url_filter
+from wayfold.llm import (
+    best_fit_packing,
+    chat_format,
+    edit_fingerprint,
+    language_id,
+    quality_rules,
+    secret_scan,
+    simhash_dedup,
+    source_mix,
+    substring_dedup,
+    url_filter,
+)
 from wayfold.llm.common import table
 
 
@@ -21,6 +32,10 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_edit_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents"), digest=True)
 
@@ -30,18 +45,27 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash_dedup.classes(table(spark, sf_dir, "documents"))
     return out.select("doc_id", simhash_dedup.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.linked(table(spark, sf_dir, "conversations"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_url_filter, op2_secret_scan, op3_best_fit_packing, op5_substring_dedup, op6_source_mix, op8_simhash_dedup, op10_quality_rules)}
+    op1_url_filter, op2_secret_scan, op3_best_fit_packing, op4_edit_fingerprint, op5_substring_dedup, op6_source_mix,
+    op7_language_id, op8_simhash_dedup, op9_chat_format, op10_quality_rules)}
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
