@@ -9,6 +9,9 @@ leaves is a repeat. The tree is never held in one place. Its suffixes are split
 2. Long prefixes (all `window` words) of the suffixes that are left. Nodes with two leaves or more are the
    deep inner nodes; their leaves are the repeated windows, and neighbouring ones make a maximal repeat.
 
+Equal texts repeat each other as a whole: one of them goes through step 2 for all, and the others need no
+windows of their own.
+
 A node is the 64-bit hash of the words on its path, so what is dealt out by prefix is (hash, document,
 position), not text: subtrees with the words themselves take over ten times the input in shuffle. A
 frequent prefix is counted before the shuffle and joined back by a join that may be split, so no task
@@ -32,6 +35,8 @@ from wayfold.llm.common import cut, row_key
 
 WINDOW = 35
 PREFIX = 12
+#: In place of a position: every window of the text is repeated.
+WHOLE = -1
 _TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
@@ -130,15 +135,31 @@ def _suffix_rows(part: pd.DataFrame, words: Words, at: np.ndarray, node: np.ndar
     return pd.DataFrame({"node": node.view(np.int64), "rk": part["rk"].to_numpy()[of], "p": offset.astype(np.int32)})
 
 
-def repeated(rows: DataFrame) -> DataFrame:
-    """(rk, ps): of rows (node, rk, p), the sorted positions of each text whose node has two leaves or more."""
-    twice = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
-    # One text is bounded, so are its positions.
-    return rows.join(twice, "node").groupBy("rk").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+def leaves(rows: DataFrame) -> DataFrame:
+    """(rk, p) of the rows (node, rk, p) whose node has two leaves or more.
+
+    Counts are joined under a key of their own (the node with its bits turned), so that they are dealt anew
+    and a node with very many leaves can be split in the join."""
+    twice = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("node").alias("turned"))
+    return rows.join(twice, F.bitwise_not(rows["node"]) == twice["turned"]).select("rk", "p")
+
+
+def by_text(found: DataFrame) -> DataFrame:
+    """(rk, ps): the sorted positions of each text. One text is bounded, so are its positions."""
+    return found.groupBy("rk").agg(F.sort_array(F.collect_set("p")).alias("ps"))
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """(rk, first): the rows whose text another row has too; `first` marks one row of each such text."""
+    hashed = docs.select("rk", F.md5("text").alias("t"))
+    many = hashed.groupBy("t").agg(F.count("*").alias("n"), F.min("rk").alias("least")).where("n > 1")
+    many = many.select(F.reverse("t").alias("turned"), "least")  # as in leaves()
+    return hashed.join(many, F.reverse("t") == F.col("turned")).groupBy("rk").agg(F.max(F.col("rk") == F.col("least")).alias("first"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """docs (doc_id, text binary, rk) with ps: the starts of the windows of each text that start elsewhere too."""
+    """docs (doc_id, text binary, rk) with ps: the starts of the windows of each text that start elsewhere
+    too; WHOLE among them stands for all."""
     width = window - prefix + 1
 
     def short(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,18 +183,21 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX
             yield _suffix_rows(part, words, at, words.nodes(window)[at])
 
     kind = "node bigint, rk bigint, p int"
-    heads = cut(repeated(docs.select("rk", "text").mapInPandas(short, kind)))
-    met = docs.join(heads, "rk")
+    same = cut(copies(docs))
+    heads = by_text(leaves(docs.select("rk", "text").mapInPandas(short, kind)))
+    heads = cut(heads.join(same.where("not first"), "rk", "left_anti"))
     # All three readers of the texts by rk take the same columns, so that the texts are dealt out once.
-    deep = repeated(met.select("doc_id", "text", "rk", "ps").mapInPandas(long, kind))
-    return docs.join(deep, "rk", "left")
+    met = docs.join(heads, "rk").select("doc_id", "text", "rk", "ps")
+    deep = leaves(met.mapInPandas(long, kind)).unionByName(same.select("rk", F.lit(WHOLE).alias("p")))
+    return docs.join(by_text(deep), "rk", "left")
 
 
 def _kept(data: bytes, ps, window: int) -> tuple[int, int, bytes]:
-    if ps is None or not len(ps):
-        words = data.split()
-        return len(words), 0, b" ".join(words)
     words = data.split()
+    if ps is None or len(words) < window:
+        return len(words), 0, b" ".join(words)
+    if ps[0] == WHOLE:
+        return len(words), len(words), b""
     step = np.zeros(len(words) + 1, np.int64)
     np.add.at(step, ps, 1)
     np.add.at(step, np.asarray(ps) + window, -1)
