@@ -7,8 +7,8 @@ step again: edit distance becomes Hamming distance between what is written. The
 written string at every 2^level-th place, so that 64 to 128 samples cover the whole text; places of a higher
 level are among those of a lower one, so fingerprints of different levels can be compared.
 
-Near-duplicate search samples bits of the fingerprint (bands of a few samples each) as equal-join keys, takes
-candidates only to the least document of a band's bucket, and verifies each by likeness. The walk runs in C
+Near-duplicate search samples the fingerprint again (bands of a few samples each), meets fingerprints that
+agree in a band, and verifies them by likeness; classes are connected components of the verified links. The walk runs in C
 (itertools.accumulate over tables of next states), a text at a time, in Arrow batches.
 
 Defined results: a null text is an empty one, with an empty sample; equal texts have equal fingerprints; the
@@ -27,6 +27,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.common import cut
+from wayfold.llm.components import connected_components
+from wayfold.llm.runs import forest, run_slices, whole_runs
+
 #: Places of the tape (it repeats), character classes.
 TAPE, CLASSES = 1024, 64
 #: Most samples of a fingerprint; it has more than half as many if the text has.
@@ -174,20 +178,38 @@ def plain_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 
 def near_pairs(prints: DataFrame, least: float = 0.8, bands: int = 24, width: int = 6) -> DataFrame:
-    """(a, b, likeness): distinct fingerprints that share a band and are alike enough, each linked to the least
-    fingerprint of a bucket; with membership of equal fingerprints by the fingerprint itself.
+    """(a, b): links between distinct fingerprints alike enough that share a band; equal ones are one.
 
-    A band samples `width` places of the fingerprint, the same for all; fingerprints of one level meet in it.
-    Within a bucket links go to its least fingerprint, so a bucket of n gives n links at most, not n squared."""
+    A band is `width` places out of the samples, at the fingerprint's own level and at the next one, so that
+    neighbouring levels meet. A run of one band gives a spanning forest of its verified links, never its pairs."""
     draw = np.random.default_rng(24)
-    places = [sorted(draw.choice(SAMPLES // 2, width, replace=False).tolist()) for _ in range(bands)]
-    key = [F.xxhash64(F.lit(i), F.left("fingerprint", F.lit(2)), *[F.substring("fingerprint", 3 + 2 * p, 2) for p in at]) for i, at in enumerate(places)]
-    rows = prints.select("fingerprint").distinct().select("fingerprint", F.explode(F.array(*key)).alias("band"))
-    first = rows.groupBy("band").agg(F.min("fingerprint").alias("a"))
-    pairs = rows.join(first, "band").where("a < fingerprint").select("a", F.col("fingerprint").alias("b")).distinct()
-
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b, strict=True)], dtype=float)
+    places = [sorted(draw.choice(SAMPLES // 4, width, replace=False).tolist()) for _ in range(bands)]
+    level = F.conv(F.left("fingerprint", F.lit(2)), 16, 10).cast("int")
+    keys = [
+        F.xxhash64(F.lit(i), level + up, *[F.substring("fingerprint", 3 + (p * 2 << up), 2) for p in at])
+        for i, at in enumerate(places) for up in (0, 1)
+    ]
+    rows = prints.select("fingerprint").distinct().select("fingerprint", F.explode(F.array(*keys)).alias("band"))
 
-    return pairs.withColumn("likeness", alike("a", "b")).where(F.col("likeness") >= least)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in whole_runs(batches, "band"):
+            prints, edges = block["fingerprint"].to_numpy(), []
+            for at in run_slices(block["band"].to_numpy()):
+                own = prints[at]
+                near = lambda i, rest, own=own: np.array([likeness(own[i], x) >= least for x in own[rest]], bool)
+                edges += [(own[i], own[j]) for i, j in forest(len(own), near)]
+            yield pd.DataFrame(edges, columns=["a", "b"])
+
+    rows = rows.repartition("band").sortWithinPartitions("band", "fingerprint")
+    return rows.mapInPandas(run, "a string, b string").distinct()
+
+
+def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.8) -> DataFrame:
+    """(key, fingerprint, component_id) of every row: the smallest key that near-duplicate links lead to."""
+    prints = cut(plain_fingerprints(docs, key, text))
+    nodes = connected_components(near_pairs(prints, least))
+    named = prints.groupBy("fingerprint").agg(F.min(key).alias("first")).join(nodes, F.col("fingerprint") == F.col("node"), "left")
+    named = named.select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("component"))
+    least_key = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = named.join(least_key, "component").select("fingerprint", "component_id")
+    return prints.join(named, "fingerprint").select(key, "fingerprint", "component_id")

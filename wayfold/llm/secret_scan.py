@@ -53,12 +53,13 @@ NEAR_KEYS = r"(?i)pass|pwd|secret|token|key|credential|auth|login|bearer"
 NEAR_LOOKALIKES = r"(?i)example|sample|dummy|placeholder|checksum|sha-?1|sha-?256|md5|commit|digest|hash|uuid|guid|revision|etag|fixture|changeme|your"
 TEST_PATH = r"(?i)(^|[/_.-])(tests?|mocks?|fixtures?|examples?|samples?|docs?|readme)([/_.-]|$)"
 
-FEATURES = ("length", "transitions", "coverage", "distinct", "digits", "uppers", "hex", "dashes", "known", "assigned", "key_near", "lookalike_near", "test_path")
+FEATURES = ("length", "transitions", "coverage", "distinct", "digits", "uppers", "hex", "dashes", "known", "assigned", "key_near", "lookalike_near", "lookalike_before", "test_path")
 TREES, DEPTH, SEED = 24, 6, 7
 #: The most labelled findings the forest is trained on, least hash first.
 MAX_LABELLED = 20_000
 #: Characters on either side that count as neighbouring words.
 AROUND = 48
+JUST_BEFORE = 16
 REDACTED = "<SECRET>"
 
 
@@ -89,6 +90,7 @@ def features(before: Column, match: Column, after: Column, path: Column) -> list
         (F.length(match) > F.length(value)).cast("double"),
         near.rlike(NEAR_KEYS).cast("double"),
         near.rlike(NEAR_LOOKALIKES).cast("double"),
+        F.right(before, F.lit(JUST_BEFORE)).rlike(NEAR_LOOKALIKES).cast("double"),
         F.coalesce(path, F.lit("")).rlike(TEST_PATH).cast("double"),
     ]
 
@@ -120,10 +122,13 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
         else concat({pick('internal|global|default|service|session', 16)}, '_', {pick('connection|authentication|environment|configuration', 17)}, '_', {pick('string|variable|settings|version', 18)}, '_', cast(pmod(id, 99) as string))
         end"""
     before = f"concat({pick('on the|ser|y la|for all|.|)', 19)}, ' ', case when k in (5, 7) then {calm} else {plain} end, ' ')"
+    # Words of look-alikes also stand near one secret in five, and words of secrets near one look-alike in five.
+    other = f"case when k < 5 then {pick('commit|checksum|sha256|example|digest|uuid', 25)} else {pick('token|password|login|secret|key', 26)} end"
+    after = f"concat(' ', {pick('and the|que|of it|der|.|next', 23)}, ' ', case when pmod(xxhash64(id, 24), 5) = 0 then {other} else '' end)"
     path = f"""case when k in (6, 8) and pmod(xxhash64(id, 20), 3) > 0 then {pick('tests/fixtures/a.json|docs/readme.md|examples/run.py', 21)}
         else {pick('src0|src12|src/app.py|config/prod.yml|lib/main.js|deploy/env.sh', 22)} end"""
     rows = spark.range(0, n, 1, 1).selectExpr("id", "cast(pmod(id, 10) as int) as k")
-    rows = rows.selectExpr("id", "k", f"{before} as before", f"{match} as match", f"concat(' ', {pick('and the|que|of it|der|.|next', 23)}) as after", f"{path} as path")
+    rows = rows.selectExpr("id", "k", f"{before} as before", f"{match} as match", f"{after} as after", f"{path} as path")
     return rows.selectExpr("before", "match", "after", "path", "case when k < 5 then 1.0D else 0.0D end as label")
 
 

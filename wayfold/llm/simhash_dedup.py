@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from wayfold.llm.common import cut, row_key
 from wayfold.llm.components import connected_components
+from wayfold.llm.runs import forest, run_slices, whole_runs
 
 SEED = 42
 SHINGLE_WORDS = 4
@@ -86,24 +87,17 @@ def masks(blocks: int, max_bits: int = MAX_BITS) -> list[int]:
     return [reduce(int.__or__, chosen) for chosen in combinations(one, blocks - max_bits)]
 
 
-def forest(fps: np.ndarray, table: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
+def linked(fps: np.ndarray, table: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
     """A spanning forest of the links among fingerprints (int64), their pivot distances in `table` (int8)."""
-    edges, rest, near = [], np.arange(len(fps)), []
     bits = fps.view(np.uint64)
-    while len(rest) or near:
-        if not near:
-            near.append(rest[0])
-            rest = rest[1:]
-        at = near.pop()
-        if not len(rest):
-            continue
-        maybe = np.flatnonzero((np.abs(table[rest] - table[at]) <= max_bits).all(axis=1))
-        found = maybe[np.bitwise_count(bits[rest[maybe]] ^ bits[at]) <= max_bits]
-        if len(found):
-            edges += [(int(fps[at]), int(fps[x])) for x in rest[found]]
-            near += rest[found].tolist()
-            rest = np.delete(rest, found)
-    return edges
+
+    def near(at: int, rest: np.ndarray) -> np.ndarray:
+        out = (np.abs(table[rest] - table[at]) <= max_bits).all(axis=1)
+        maybe = rest[out]
+        out[out] = np.bitwise_count(bits[maybe] ^ bits[at]) <= max_bits
+        return out
+
+    return [(int(fps[i]), int(fps[j])) for i, j in forest(len(fps), near)]
 
 
 def links(fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
@@ -117,37 +111,15 @@ def links(fps: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
     rows = fps.select("fp", packed.alias("pivots")).select(F.explode(keys).alias("k"), "fp", "pivots")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            k = batch["k"].to_numpy()
-            if k[0] == k[-1] and held and held[-1]["k"].iat[-1] == k[0]:
-                held.append(batch)  # one run goes on: joined once, when it ends
-                continue
-            block = pd.concat([*held, batch]) if held else batch
-            k = block["k"].to_numpy()
-            last = int(np.searchsorted(k, k[-1]))
-            held = [block.iloc[last:]]
-            yield _runs(block.iloc[:last], max_bits)
-        if held:
-            yield _runs(pd.concat(held), max_bits)
+        for block in whole_runs(batches, "k"):
+            fps = block["fp"].to_numpy()
+            table = np.frombuffer(b"".join(block["pivots"]), np.int8).reshape(len(fps), len(pivots))
+            edges = [e for at in run_slices(block["k"].to_numpy()) for e in linked(fps[at], table[at], max_bits)]
+            yield pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
 
     return rows.repartition("k").sortWithinPartitions("k", "fp").mapInPandas(run, "a bigint, b bigint").distinct()
 
 
-def _runs(block: pd.DataFrame, max_bits: int) -> pd.DataFrame:
-    k, fps = block["k"].to_numpy(), block["fp"].to_numpy()
-    edges: list[tuple[int, int]] = []
-    if len(k):
-        table = np.frombuffer(b"".join(block["pivots"]), np.int8).reshape(len(k), -1)
-        cuts = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1], [True])))
-        for i in np.flatnonzero(np.diff(cuts) > 1):
-            at = slice(cuts[i], cuts[i + 1])
-            edges += forest(fps[at], table[at], max_bits)
-    return pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
-
-
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """(key, row_key, fp, component_id) of every row: component_id is the smallest key of its class."""
     marked = cut(fingerprints(docs, key, text))
