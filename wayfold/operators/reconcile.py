@@ -67,9 +67,9 @@ def write_rows(deltas: DataFrame, events: DataFrame) -> DataFrame:
     e = events.withColumnRenamed("op", "event_op")
     direct = deltas.join(e.select("trial_id", "path", *facts), ["trial_id", "path"]).where(inside).withColumn("via_dir", F.lit(None).cast("string"))
     alone = deltas.join(direct.select(*key).distinct(), key, "left_anti")
-    moved = e.where("is_dir").select("trial_id", F.col("path").alias("via_dir"), *facts)
+    moved = e.where("is_dir").select(F.col("trial_id").alias("_t"), F.col("path").alias("via_dir"), *facts)
     up = alone.withColumn("_up", F.explode(F.transform(ancestors(F.col("path")), lambda d, i: F.struct(i.alias("depth"), d.alias("dir")))))
-    met = up.join(moved, (up["trial_id"] == moved["trial_id"]) & (F.col("_up.dir") == F.col("via_dir"))).drop(moved["trial_id"])
+    met = up.join(moved, (F.col("trial_id") == F.col("_t")) & (F.col("_up.dir") == F.col("via_dir")))
     met = met.where(inside & (F.col("event_op") == F.when(F.col("op") == "delete", "delete").otherwise("moved_to")))
     near = met.groupBy(*key).agg(F.min("_up.depth").alias("_least"))
     carried = met.join(near, key).where(F.col("_up.depth") == F.col("_least")).select(*direct.columns)

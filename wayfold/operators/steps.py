@@ -5,13 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: One step of a trajectory document.
-STEP = (
-    "step_id int, timestamp string, source string, message string, reasoning_content string, "
-    "tool_calls array<struct<tool_call_id: string, function_name: string, arguments: string>>, "
-    "observation struct<results: array<struct<source_call_id: string, content: string, is_error: boolean>>>"
+#: A trajectory document, as far as steps are made from it.
+DOCUMENT = (
+    "trial_id string, steps array<struct<step_id: int, timestamp: string, source: string, message: string, reasoning_content: string, "
+    "tool_calls: array<struct<tool_call_id: string, function_name: string, arguments: string>>, "
+    "observation: struct<results: array<struct<source_call_id: string, content: string, is_error: boolean>>>>>"
 )
-DOCUMENT = f"trial_id string, steps array<struct<{STEP.replace(' struct<results', ': struct<results').replace(' array<struct<tool', ': array<struct<tool').replace(' string, ', ': string, ').replace('step_id int', 'step_id: int')}>>"
 
 
 def flatten(documents: DataFrame) -> DataFrame:
