@@ -28,8 +28,6 @@ WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
 BLOCK_WORDS = 1024
-#: Rows of a source in one hash bucket, on average.
-BUCKET_ROWS = 20_000
 GOLDEN = 0.6180339887498949
 
 
@@ -83,10 +81,11 @@ def running(rows: DataFrame, value, order: list, out: str) -> DataFrame:
     return _with(rows, sums, "source", "bucket").withColumn(out, F.col("_base") + F.col("_inner")).drop("_base", "_inner", "_value")
 
 
-def laid(sized: DataFrame, goal: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Each row with its source's goal and `start`, the words before it in its source. Buckets are ranges of the hash."""
+def laid(sized: DataFrame, goal: DataFrame) -> DataFrame:
+    """Each row with its source's goal and `start`, the words before it in its source. Buckets are ranges of the
+    hash, as many as the root of a source's rows: neither level of the sum has more than that in one group."""
     rows = _with(sized, goal.select("source", "source_rows", "source_size", "target"), "source")
-    n = F.ceil(F.col("source_rows") / bucket_rows).cast("double")
+    n = F.ceil(F.sqrt("source_rows")).cast("double")
     rows = rows.withColumn("bucket", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * n).cast("long"))
     return running(rows, F.col("size"), ["h", "key", "size"], "start").drop("bucket")
 
@@ -104,7 +103,7 @@ def schedule(goal: DataFrame, block: int = BLOCK_WORDS, cells: int = 1024) -> Da
     points = goal.sparkSession.range(n).select(F.col("id").alias("place"), ((F.col("id") * GOLDEN) % 1.0).alias("point"))
     points = points.withColumn("cell", F.floor(F.col("point") * cells))
     slots = points.join(shares, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
-    slots = slots.select("source", "place", F.floor(F.col("place") / 100_000).alias("bucket"))
+    slots = slots.select("source", "place", F.floor(F.col("place") / (int(n**0.5) + 1)).alias("bucket"))
     slots = running(slots, F.lit(1), ["place"], "rank").select("source", "rank", "place")
     # Ranks that the points leave out, at the end: a source is within a few slots of its share.
     made = goal.where("target > 0").select("source", _slots_needed(block).alias("need"))
