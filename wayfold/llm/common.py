@@ -32,3 +32,12 @@ def n_words(text: Column | str) -> Column:
 def row_key(*cols: str) -> Column:
     """Tells rows apart that share an id but not a text; equal rows are equal in it."""
     return F.xxhash64(*cols)
+
+
+def with_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
+    """`rows` joined to `totals`, an aggregate by `key`, where one key may have a great share of the rows.
+
+    They meet under a key of its own (a struct of the key). On the key itself the aggregate would not be dealt
+    out again for the join, and adaptive execution splits a hot key only if both sides are."""
+    named = totals.select(F.struct(key).alias("_own"), *[c for c in totals.columns if c != key])
+    return rows.join(named, F.struct(rows[key].alias(key)) == named["_own"]).drop("_own")

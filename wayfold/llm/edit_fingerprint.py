@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut
+from wayfold.llm.common import cut, with_totals
 from wayfold.llm.components import connected_components
 from wayfold.llm.runs import forest, run_slices, whole_runs
 
@@ -211,5 +211,5 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", least
     named = prints.groupBy("fingerprint").agg(F.min(key).alias("first")).join(nodes, F.col("fingerprint") == F.col("node"), "left")
     named = named.select("fingerprint", "first", F.coalesce("component", "fingerprint").alias("component"))
     least_key = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least_key, "component").select("fingerprint", "component_id")
+    named = with_totals(named, least_key, "component").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select(key, "fingerprint", "component_id")

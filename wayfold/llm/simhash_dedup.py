@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, row_key
+from wayfold.llm.common import cut, row_key, with_totals
 from wayfold.llm.components import connected_components
 from wayfold.llm.runs import forest, run_slices, whole_runs
 
@@ -128,7 +128,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits:
     named = distinct.join(nodes, distinct.fp == nodes.node, "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select("fp", "component", "component_id")
+    named = with_totals(named, least, "component").select("fp", "component", "component_id")
     return marked.join(named, "fp").select(key, "row_key", "fp", "component", "component_id")
 
 

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, row_key
+from wayfold.llm.common import cut, row_key, with_totals
 
 WINDOW = 35
 PREFIX = 12
@@ -136,12 +136,9 @@ def _suffix_rows(part: pd.DataFrame, words: Words, at: np.ndarray, node: np.ndar
 
 
 def leaves(rows: DataFrame) -> DataFrame:
-    """(rk, p) of the rows (node, rk, p) whose node has two leaves or more.
-
-    Counts are joined under a key of their own (the node with its bits turned), so that they are dealt anew
-    and a node with very many leaves can be split in the join."""
-    twice = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select(F.bitwise_not("node").alias("turned"))
-    return rows.join(twice, F.bitwise_not(rows["node"]) == twice["turned"]).select("rk", "p")
+    """(rk, p) of the rows (node, rk, p) whose node has two leaves or more."""
+    twice = rows.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+    return with_totals(rows, twice, "node").select("rk", "p")
 
 
 def by_text(found: DataFrame) -> DataFrame:
@@ -152,9 +149,8 @@ def by_text(found: DataFrame) -> DataFrame:
 def copies(docs: DataFrame) -> DataFrame:
     """(rk, first): the rows whose text another row has too; `first` marks one row of each such text."""
     hashed = docs.select("rk", F.md5("text").alias("t"))
-    many = hashed.groupBy("t").agg(F.count("*").alias("n"), F.min("rk").alias("least")).where("n > 1")
-    many = many.select(F.reverse("t").alias("turned"), "least")  # as in leaves()
-    return hashed.join(many, F.reverse("t") == F.col("turned")).groupBy("rk").agg(F.max(F.col("rk") == F.col("least")).alias("first"))
+    many = hashed.groupBy("t").agg(F.count("*").alias("n"), F.min("rk").alias("least")).where("n > 1").select("t", "least")
+    return with_totals(hashed, many, "t").groupBy("rk").agg(F.max(F.col("rk") == F.col("least")).alias("first"))
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
