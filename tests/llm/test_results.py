@@ -276,6 +276,29 @@ def test_op8_masks_meet_every_link():
             assert any(flip & m == 0 for m in got)
 
 
+def test_op8_similar_texts_against_brute_force(spark):
+    draw = random.Random(8)
+    texts = []
+    for n in [60, 60, 150, 150, 400, 400] * 6:
+        base = [f"w{draw.randrange(5000)}" for _ in range(n)]
+        texts.append(" ".join(base))
+        for share in (0.005, 0.015, 0.04, 0.3):
+            texts.append(" ".join(draw.choice("abcd") * 3 if draw.random() < share else w for w in base))
+    texts += texts[:3] + [None, "", "short one"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sets = [{tuple((t or "").split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for t in texts]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    got = {r.doc_id: r.component for r in simhash_dedup.similar_classes(docs).collect()}
+    missed = [(a, b) for a, b in alike if got[a] != got[b]]
+    assert len(alike) > 50 and len(missed) <= 0.01 * len(alike)
+    # A class holds nothing that brute force, or a fingerprint at 4 bits or fewer, would not link.
+    fps = [simhash_dedup.simhash((t or "").encode()) for t in texts]
+    close = [(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4]
+    whole = roots(range(len(texts)), alike + close)
+    assert all(whole[a] == whole[b] for a in got for b in got if got[a] == got[b])
+    assert {r.doc_id for r in simhash_dedup.keep_one(docs).collect()} >= set(whole.values())
+
+
 def test_op9_links_threads_and_cleans(spark):
     rows = [
         (1, 0, "user", "Hello there\nhow are you?"), (1, 1, "assistant", "> how are you?\nFine.  Thanks\n"),

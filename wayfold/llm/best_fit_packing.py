@@ -2,7 +2,7 @@
 
 Documents become pieces of at most the largest permitted sequence length; pieces are packed into bins.
 Pieces are dealt evenly (round robin, so that no key can gather them) into groups of about `group_rows`
-pieces; each group is packed by best fit, largest first: a piece goes to the open bin it fills best. If none
+documents, and a group of many more pieces than that, from long texts, is packed in parts; each group is packed by best fit, largest first: a piece goes to the open bin it fills best. If none
 has room, a bin opens at the permitted length of least cost for a word it is going to hold, where
 cost(length) = fixed + length + quadratic * length^2 (fixed work of a sequence, work for each place, and
 attention). In the end each bin is cut down to the least permitted length that holds its contents. A group
@@ -76,6 +76,18 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", longest: in
     return cut.select(key, F.col("pos").alias("piece"), F.col("col").alias("first"), F.least(F.col("_n") - F.col("col"), F.lit(longest)).alias("size"))
 
 
+def _gathered(batches: Iterator[pd.DataFrame], least: int) -> Iterator[pd.DataFrame]:
+    """The rows in blocks of at least `least`, but for the last."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= least:
+            yield pd.concat(held, ignore_index=True)
+            held = []
+    if sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", lengths: Sequence[int] = LENGTHS, fixed: float = FIXED,
          quadratic: float = QUADRATIC, group_rows: int = GROUP_ROWS, size: str | None = None) -> DataFrame:
     """(key, piece, first, size, bin string, offset, capacity) of every piece.
@@ -88,12 +100,10 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", lengths: Sequ
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        group = TaskContext.get().partitionId()
-        held = list(batches)
-        if held and sum(map(len, held)):
-            rows = pd.concat(held, ignore_index=True)
+        part = TaskContext.get().partitionId()
+        for n, rows in enumerate(_gathered(batches, 2 * group_rows)):
             of, place, down = best_fit(rows["size"].to_numpy(np.int64), lengths, fixed, quadratic)
-            yield rows.assign(bin=[f"{group}-{b}" for b in of], offset=place, capacity=down[of])
+            yield rows.assign(bin=[f"{part}-{n}-{b}" for b in of], offset=place, capacity=down[of])
 
     schema = f"`{key}` {kind}, piece int, first bigint, size bigint, bin string, offset bigint, capacity bigint"
     return cut.repartition(groups).mapInPandas(run, schema)

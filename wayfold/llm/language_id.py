@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 MAX_GRAM = 4
 LANDMARKS = 240
+#: The most training texts, of all languages together.
 MAX_TRAIN = 2400
-#: Characters of a training text beyond which it is left to others (prediction has no such bound).
 RIDGE = 1e-3
 UNKNOWN = "und"
 _TABLE_BITS = 20

@@ -11,6 +11,10 @@
    of its links: never more rows than fingerprints, whatever the number of pairs.
 5. Connected components over the forest edges; the class id is the smallest document id.
 
+classes() links fingerprints at few differing bits. keep_one(), which removes near-duplicates from a corpus,
+also links texts with 0.8 or more of their five-word shingles in common, which mostly differ in more bits
+(simhash_similar has how they are found).
+
 Defined results: a null or blank text has fingerprint 0 and is linked like any other; repeated rows share
 a class; null ids take part and never name a class unless all its ids are null; an empty table gives no
 rows; other columns of the input are not read."""
@@ -28,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm import simhash_similar as similar
 from wayfold.llm.common import cut, row_key, with_totals
 from wayfold.llm.components import connected_components
 from wayfold.llm.runs import forest, run_slices, whole_runs
@@ -132,10 +137,53 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits:
     return marked.join(named, "fp").select(key, "row_key", "fp", "component", "component_id")
 
 
-def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """`docs` with one row of each class (component: its smallest fingerprint): the one of the smallest id (null last), then of the smallest row_key."""
+def similar_marks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, row_key, fp, node, wide, keys) of every row: node is one for texts of equal lower-cased words."""
+    tables = similar.tables_for(docs.count())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for i in range(0, len(batch), 128):
+                part = batch[i : i + 128]
+                texts = [x or b"" for x in part["_text"]]
+                words = [x.lower().split() for x in texts]
+                vectors = np.stack([similar.sums(similar.shingles(w)) for w in words])
+                node = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
+                fp = np.array([simhash(x) for x in texts], np.uint64).view(np.int64)
+                yield part.drop(columns="_text").assign(fp=fp, node=node, wide=list(similar.bits(vectors)), keys=list(similar.keys_of(vectors, tables)))
+
+    rows = docs.select(F.col(key), row_key(key, text).alias("row_key"), F.col(text).cast("binary").alias("_text"))
+    kind = dict(docs.dtypes)[key]
+    return rows.mapInPandas(run, f"`{key}` {kind}, row_key bigint, fp bigint, node bigint, wide array<bigint>, keys array<bigint>")
+
+
+def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, least: float = similar.LEAST) -> DataFrame:
+    """(key, row_key, component) of every row. Two texts are linked if their fingerprints differ in `max_bits`
+    bits or fewer, as in classes(), or if they have `least` or more of their five-word shingles in common."""
+    marked = cut(similar_marks(docs, key, text))
+    distinct = cut(marked.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(F.struct("fp", "wide", "keys")).alias("m")).select("node", "row_key", "m.*"))
+    pairs = cut(similar.candidates(distinct))
+    # Only texts of pairs are read again.
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    ends = distinct.select("node", "row_key").join(ends, "node", "left_semi")
+    texts = docs.select(row_key(key, text).alias("row_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+    texts = texts.join(ends, "row_key").groupBy("node").agg(F.any_value("text").alias("text"))
+    alike = similar.verified(pairs, texts, least)
+    # Fingerprints stand for the least node that has them.
+    own = cut(distinct.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
+    same = with_totals(distinct.select("fp", "node"), own.where("n > 1").select("fp", "head"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    heads = own.select("fp", "head")
+    bits = links(heads.select("fp"), own.count(), max_bits)
+    bits = bits.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
+    nodes = connected_components(alike.unionByName(same).unionByName(bits.select(F.col("x").alias("a"), F.col("y").alias("b"))))
+    named = nodes.select(F.col("node").alias("_n"), "component")
+    return marked.join(named, F.col("node") == F.col("_n"), "left").select(key, "row_key", F.coalesce("component", "node").alias("component"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, least: float = similar.LEAST) -> DataFrame:
+    """`docs` with one row of each of similar_classes(): the one of the smallest id (null last), then of the smallest row_key."""
     first = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("row_key").alias("r"))
-    marked = classes(docs, key, text, max_bits)
+    marked = similar_classes(docs, key, text, max_bits, least)
     kept = marked.groupBy("component").agg(F.min(first).alias("m")).select(F.col("m.r").alias("_row_key"))
     rows = docs.withColumn("_row_key", row_key(key, text)).join(kept, "_row_key", "left_semi")
     return rows.dropDuplicates(["_row_key"]).drop("_row_key")
