@@ -5,6 +5,9 @@ files, clicks start jobs in the background, errors fail. The last step is a mess
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -25,11 +28,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").cast("timestamp").alias("at"), F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
-def model(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    """trials, steps, deltas, job_notices, writes."""
-    e = events(spark, sf_dir)
-    path = F.concat(F.lit("/k/"), F.col("k") % 10, F.when(F.col("k") % 7 == 0, "/__pycache__/a.pyc").otherwise(".py"))
-    kind, micros = F.col("event_type"), F.floor(F.col("value") * 1_000_000).cast("long")
+def _path():
+    return F.concat(F.lit("/k/"), F.col("k") % 10, F.when(F.col("k") % 7 == 0, "/__pycache__/a.pyc").otherwise(".py"))
+
+
+def _micros():
+    return F.floor(F.col("value") * 1_000_000).cast("long")
+
+
+def steps(e: DataFrame) -> DataFrame:
+    path, kind, micros = _path(), F.col("event_type"), _micros()
     tool = F.when(kind == "signup", "Write").when(kind == "purchase", "Edit").otherwise("Bash")
     command = (
         F.when(kind == "view", F.when(F.col("k") % 3 == 0, F.concat(F.lit("pytest -q /k/"), F.col("k") % 10)).otherwise(F.concat(F.lit("cat /k/"), F.col("k") % 10, F.lit(".py"))))
@@ -46,27 +54,63 @@ def model(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     third = F.col("trial_id").cast("int") % 3
     said = F.when(third == 0, "All tests pass, done.").when(third == 1, "It does not work.").otherwise("Looking around")
     messages = last.select("trial_id", (F.col("n") + 1).alias("step_idx"), F.lit("agent").alias("source"), said.alias("message"))
-    steps = calls.unionByName(messages, allowMissingColumns=True)
+    return calls.unionByName(messages, allowMissingColumns=True)
+
+
+def deltas(e: DataFrame) -> DataFrame:
+    path, kind = _path(), F.col("event_type")
     digest = F.concat(F.lit("h"), (F.floor(F.col("value") / 20) % 4).cast("string"))
     by_path = Window.partitionBy("trial_id", "path").orderBy("step_idx")
     lines = F.concat_ws("\n", F.lit("+++ b"), F.lit("+import os"), F.lit("+x = 1"), F.lit("+y = 2"), F.concat(F.lit("+z = "), F.col("k") % 3), F.concat(F.lit("+w = "), F.col("k") % 4), F.concat(F.lit("+v = "), F.col("k")), F.lit(" end"))
     changed = e.where(kind.isin("signup", "purchase")).select("trial_id", "step_idx", path.alias("path"), digest.alias("sha256_after"), "event_id", "k", "value", lines.alias("hunk"), later("at", (F.col("k") - 30) * 1_000_000).alias("mtime_after"))
     changed = changed.withColumn("sha256_before", F.lag("sha256_after").over(by_path))
-    deltas = changed.withColumn("op", F.when(F.col("sha256_before").isNull(), "add").when(F.col("k") % 11 == 0, "delete").otherwise("modify"))
-    deltas = deltas.withColumn("bytes_after", F.floor(F.col("value") * 100).cast("long"))
-    notices = e.where((kind == "click") & (F.col("k") % 4 == 1) & (F.col("event_id") % 2 == 0)).select(
-        "trial_id", F.concat(F.lit("b"), "event_id").alias("task_id"), F.concat(F.lit("c"), "event_id").alias("tool_call_id"), F.lit("completed").alias("status"), later("at", micros * 60).alias("noticed_at"))
-    writes = deltas.where("event_id % 4 = 0").select("trial_id", "step_idx", "path", F.explode(F.when(F.col("event_id") % 8 == 0, F.array(F.col("step_idx"), F.col("step_idx") - 1)).otherwise(
+    changed = changed.withColumn("op", F.when(F.col("sha256_before").isNull(), "add").when(F.col("k") % 11 == 0, "delete").otherwise("modify"))
+    return changed.withColumn("bytes_after", F.floor(F.col("value") * 100).cast("long"))
+
+
+def job_notices(e: DataFrame) -> DataFrame:
+    return e.where((F.col("event_type") == "click") & (F.col("k") % 4 == 1) & (F.col("event_id") % 2 == 0)).select(
+        "trial_id", F.concat(F.lit("b"), "event_id").alias("task_id"), F.concat(F.lit("c"), "event_id").alias("tool_call_id"), F.lit("completed").alias("status"), later("at", _micros() * 60).alias("noticed_at"))
+
+
+def writes(deltas: DataFrame) -> DataFrame:
+    return deltas.where("event_id % 4 = 0").select("trial_id", "step_idx", "path", F.explode(F.when(F.col("event_id") % 8 == 0, F.array(F.col("step_idx"), F.col("step_idx") - 1)).otherwise(
         F.array(F.when(F.col("event_id") % 3 > 0, F.col("step_idx") - 2)))).alias("writer_step"))
+
+
+def trials(spark: SparkSession, sf_dir: str, e: DataFrame) -> DataFrame:
     first = read(spark, sf_dir, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("text"))
     users = e.select("trial_id").distinct().join(first.select(F.col("conv_id").cast("string").alias("trial_id"), "text"), "trial_id", "left")
     number = F.col("trial_id").cast("int")
-    trials = users.select(
+    return users.select(
         "trial_id", F.concat(F.lit("t"), "trial_id").alias("trial_name"), F.concat(F.lit("task"), number % 7).alias("task"), (number % 4).alias("attempt_idx"),
         F.when(number % 4 > 0, (number - 1).cast("string")).alias("parent_trial_id"),
         F.concat(F.coalesce("text", F.lit("")), F.lit("\nSave to /k/"), number % 10, F.lit(".py. See http://x//k/1.py and /k/4.py/")).alias("prompt"),
         F.lit("m").alias("model"), F.lit("h").alias("harness"), F.when(number % 5 == 0, 1.0).when(number % 5 < 4, 0.0).alias("reward"))
-    return {"trials": trials, "steps": steps, "deltas": deltas, "job_notices": notices, "writes": writes}
+
+
+class Model(Mapping):
+    """trials, steps, deltas, job_notices, writes; each is declared when it is first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        e = cache(lambda: events(spark, sf_dir))
+        self._makers = {
+            "trials": cache(lambda: trials(spark, sf_dir, e())), "steps": cache(lambda: steps(e())), "deltas": cache(lambda: deltas(e())),
+            "job_notices": cache(lambda: job_notices(e())), "writes": cache(lambda: writes(self["deltas"])),
+        }
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return self._makers[name]()
+
+    def __iter__(self):
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def model(spark: SparkSession, sf_dir: str) -> Model:
+    return Model(spark, sf_dir)
 
 
 #: The same five relations as SQL common table expressions, for checking.
