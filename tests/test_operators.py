@@ -194,3 +194,11 @@ def test_constraints_name_what_is_broken(spark):
     (r,) = schemas.violations(df, "deltas").collect()
     assert set(r.broken) == {"op_fits_kinds", "hunk_is_text", "digests", "modes", "owners", "absolute_path"}
     assert rows(schemas.repeated_keys(df, "deltas")) == [] and schemas.repeated_keys(df.union(df), "deltas").count() == 2
+
+
+def test_check_components(spark):
+    needs = [("t", f"c{i}", f"h{i}") for i in range(6)] + [("t", f"c{i}", f"h{i + 1}") for i in range(3)] + [("u", "c1", "h1"), ("u", None, "h1"), ("u", "c2", None)]
+    df = spark.createDataFrame(needs, "trial string, check string, hunk string")
+    got = {(r.trial, r.check): r.component for r in timeline.check_components(df, ["trial"]).collect()}
+    assert got == {("t", "c0"): "c0", ("t", "c1"): "c0", ("t", "c2"): "c0", ("t", "c3"): "c0", ("t", "c4"): "c4", ("t", "c5"): "c5", ("u", "c1"): "c1"}
+    assert timeline.check_components(df.where("false"), ["trial"]).count() == 0

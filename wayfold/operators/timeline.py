@@ -105,3 +105,21 @@ def state_id(entries: DataFrame, by: list[str]) -> DataFrame:
     """(by, state_id): one digest of the sorted entries (path, kind, sha256), equal for equal states."""
     rows = F.sort_array(F.collect_list(F.struct("path", "kind", "sha256")))
     return entries.groupBy(*by).agg(F.sha2(F.to_json(rows), 256).alias("state_id"))
+
+
+def check_components(needs: DataFrame, by: list[str]) -> DataFrame:
+    """(by, check, component): checks that share a hunk they need (by, check, hunk), directly or through others, have one
+    component, named by its least check. Labels go over hunks and back until none changes; only a flag reaches the driver."""
+    edges = needs.select(*by, "check", "hunk").where("check is not null and hunk is not null").distinct()
+    context = edges.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    edges = edges.checkpoint()
+    labels = edges.select(*by, "check", F.col("check").alias("component")).distinct()
+    while True:
+        per_hunk = edges.join(labels, [*by, "check"]).groupBy(*by, "hunk").agg(F.min("component").alias("component"))
+        found = edges.join(per_hunk, [*by, "hunk"]).groupBy(*by, "check").agg(F.min("component").alias("_now"))
+        step = labels.join(found, [*by, "check"]).withColumn("_moved", F.col("_now") < F.col("component")).checkpoint()
+        labels = step.select(*by, "check", F.col("_now").alias("component"))
+        if step.where("_moved").isEmpty():
+            return labels
