@@ -299,6 +299,29 @@ def test_op8_similar_texts_against_brute_force(spark):
     assert {r.doc_id for r in simhash_dedup.keep_one(docs).collect()} >= set(whole.values())
 
 
+def test_op8_pairs_behind_a_template(spark):
+    """Families of two texts at 0.9 in a group whose families are 0.7 alike: what fails at a hub is looked for further."""
+    draw = random.Random(5)
+    template, texts = [f"t{draw.randrange(5000)}" for _ in range(350)], []
+    for family in range(60):
+        tail = [f"f{family}_{draw.randrange(5000)}" for _ in range(75)]
+        texts.append(" ".join(template + tail))
+        for at in (10, 30, 50, 70):
+            tail[at] = "other"
+        texts.append(" ".join(template + tail))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    alike = [(a, b) for a in range(len(texts)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert sorted(alike) == [(i + 1, i) for i in range(0, 120, 2)]
+    got = {r.doc_id: r.component for r in simhash_dedup.similar_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    missed = [p for p in alike if got[p[0]] != got[p[1]]]
+    assert len(missed) <= 0.01 * len(alike), f"{len(missed)} of {len(alike)}"
+    # Nothing else is linked, but for fingerprints at 4 bits or fewer.
+    fps = [simhash_dedup.simhash(t.encode()) for t in texts]
+    close = [(a, b) for a in range(len(texts)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= 4]
+    whole = roots(range(len(texts)), alike + close)
+    assert all(whole[a] == whole[b] for a in got for b in got if got[a] == got[b])
+
+
 def test_op9_links_threads_and_cleans(spark):
     rows = [
         (1, 0, "user", "Hello there\nhow are you?"), (1, 1, "assistant", "> how are you?\nFine.  Thanks\n"),

@@ -162,13 +162,15 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
     bits or fewer, as in classes(), or if they have `least` or more of their five-word shingles in common."""
     marked = cut(similar_marks(docs, key, text))
     distinct = cut(marked.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(F.struct("fp", "wide", "keys")).alias("m")).select("node", "row_key", "m.*"))
-    pairs = cut(similar.candidates(distinct))
-    # Only texts of pairs are read again.
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    ends = distinct.select("node", "row_key").join(ends, "node", "left_semi")
-    texts = docs.select(row_key(key, text).alias("row_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    texts = texts.join(ends, "row_key").groupBy("node").agg(F.any_value("text").alias("text"))
-    alike = similar.verified(pairs, texts, least)
+    rows = docs.select(row_key(key, text).alias("row_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+
+    def texts(pairs: DataFrame) -> DataFrame:
+        """Only texts of pairs are read again."""
+        ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        ends = distinct.select("node", "row_key").join(ends, "node", "left_semi")
+        return rows.join(ends, "row_key").groupBy("node").agg(F.any_value("text").alias("text"))
+
+    alike = similar.alike(distinct, texts, least)
     # Fingerprints stand for the least node that has them.
     own = cut(distinct.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
     same = with_totals(distinct.select("fp", "node"), own.where("n > 1").select("fp", "head"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))

@@ -12,14 +12,17 @@ tell where to look:
    many tables make a key follows the number of texts, so that runs stay short.
 3. Within a run, pairs whose plain distances to the reference fingerprints differ by more than `bits` in any
    coordinate are discarded, survivors are compared bit by bit, and a run emits a spanning forest.
-4. The forest's pairs are verified on the shingles of whole texts.
+4. The forest's pairs are verified on the shingles of whole texts. Many near fingerprints are of texts that are
+   less alike, so a tree that verification broke gives further pairs, in rounds: the near pairs of its next rows
+   with all rows that are not known to be of their component, until every row had its turn. What is linked in the end is
+   what verifying all near pairs of all runs would link.
 
 Pairs are found with a probability: about 0.99 at similarity 0.8, nearer 1 above it. Defined results: as in
 simhash_dedup; a text under `shingle_words` words has its whole word sequence as its one shingle."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from math import ceil, log2
 
 import numpy as np
@@ -28,6 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wayfold.llm.common import cut, with_totals
 from wayfold.llm.runs import forest, run_slices, whole_runs
 
 WIDE = 256
@@ -41,6 +45,10 @@ CROWD = 512
 COMPARED, BITS = 128, 34
 #: Up to this length all pairs of a run are looked at in one sweep, which most runs have none to keep of.
 SWEPT = 64
+#: Rows of a broken tree that have their turn in its first round; each round takes GROWTH times as many as all before.
+FIRST, GROWTH = 16, 4
+#: Pairs that are handed on at once.
+_PAIRS = 100_000
 #: Shingles summed at once.
 _CHUNK = 50_000
 _SEED = 8
@@ -119,16 +127,22 @@ def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int16)
 
 
-def linked(wide: np.ndarray, most: int = BITS) -> list[tuple[int, int]]:
-    """A spanning forest, as indices, of the pairs of fingerprints (rows of longs) at `most` differing bits or fewer."""
-    table = np.stack([differing(wide, p) for p in _PIVOTS], axis=1)
+def distances(wide: np.ndarray) -> np.ndarray:
+    """(rows, pivots): differing bits to the reference fingerprints."""
+    return np.stack([differing(wide, p) for p in _PIVOTS], axis=1)
 
-    def near(at: int, rest: np.ndarray) -> np.ndarray:
-        out = (np.abs(table[rest] - table[at]) <= most).all(axis=1)
-        out[out] = differing(wide[rest[out]], wide[at]) <= most
-        return out
 
-    return forest(len(wide), near)
+def near(wide: np.ndarray, table: np.ndarray, at: int, rest: np.ndarray, most: int = BITS) -> np.ndarray:
+    """Which of the rows `rest` differ from row `at` in `most` bits or fewer."""
+    out = (np.abs(table[rest] - table[at]) <= most).all(axis=1)
+    out[out] = differing(wide[rest[out]], wide[at]) <= most
+    return out
+
+
+def linked(wide: np.ndarray, most: int = BITS) -> list[tuple[int, int]]:
+    """A spanning forest, as indices, of the pairs of fingerprints (rows of longs) at `most` differing bits or fewer."""
+    table = distances(wide)
+    return forest(len(wide), lambda at, rest: near(wide, table, at, rest, most))
 
 
 def swept(k: np.ndarray, wide: np.ndarray, most: int = BITS) -> Iterator[slice]:
@@ -146,20 +160,97 @@ def swept(k: np.ndarray, wide: np.ndarray, most: int = BITS) -> Iterator[slice]:
             yield run
 
 
-def candidates(distinct: DataFrame, most: int = BITS) -> DataFrame:
-    """(a, b): forests of near fingerprints, run by run, over distinct texts (node, wide, keys)."""
-    longs = [f"w{i}" for i in range(COMPARED // 64)]
+_LONGS = [f"w{i}" for i in range(COMPARED // 64)]
+
+
+def trees(distinct: DataFrame, most: int = BITS) -> DataFrame:
+    """(tree, node, parent, size, w0..): forests of near fingerprints, run by run, over distinct texts (node, wide, keys).
+
+    A tree of a run has all its rows: near rows of a run are in one tree. The root's parent is null."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in whole_runs(batches, "k"):
-            k, node, wide, edges = block["k"].to_numpy(), block["node"].to_numpy(), block[longs].to_numpy(), []
+            k, node, wide, rows = block["k"].to_numpy(), block["node"].to_numpy(), block[_LONGS].to_numpy(), []
             for at in swept(k, wide, most):
-                edges += [(node[at.start + i], node[at.start + j]) for i, j in linked(wide[at], most)]
-            yield pd.DataFrame(edges, columns=["a", "b"], dtype=np.int64)
+                root: dict[int, int] = {}
+                size: dict[int, int] = {}
+                up = linked(wide[at], most)
+                for i, j in up:
+                    r = root[j] = root.setdefault(i, i)
+                    size[r] = size.get(r, 1) + 1
+                parent = {j: i for i, j in up}
+                for i, r in root.items():
+                    above = node[at.start + parent[i]] if i in parent else None
+                    rows.append((k[at.start], node[at.start + r], node[at.start + i], above, size[r], *wide[at.start + i]))
+            out = pd.DataFrame(rows, columns=["k", "root", "node", "parent", "size", *_LONGS], dtype=object)
+            yield out.astype({c: np.int64 for c in out if c != "parent"} | {"parent": "Int64"})
+
+    rows = distinct.select(F.explode("keys").alias("k"), "node", *[F.get("wide", F.lit(i)).alias(w) for i, w in enumerate(_LONGS)])
+    kinds = ", ".join(f"{c} bigint" for c in ("k", "root", "node", "parent", "size", *_LONGS))
+    found = rows.repartition("k").sortWithinPartitions("k", "node").mapInPandas(run, kinds)
+    return found.select(F.xxhash64("k", "root").alias("tree"), "node", "parent", "size", *_LONGS)
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
 
-    rows = distinct.select(F.explode("keys").alias("k"), "node", *[F.get("wide", F.lit(i)).alias(w) for i, w in enumerate(longs)])
-    found = rows.repartition("k").sortWithinPartitions("k", "node").mapInPandas(run, "a bigint, b bigint")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def labels(good: DataFrame) -> DataFrame:
+    """(node, component) of the ends of pairs: the least node within two links. Equal ones are linked; linked ones may differ."""
+    both = good.select(F.col("a").alias("u"), F.col("b").alias("v")).union(good.select("b", "a"))
+    both = both.union(both.select("u", F.col("u").alias("v"))).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
+    return with_totals(both, least, "v").groupBy("u").agg(F.min("m").alias("component")).withColumnRenamed("u", "node")
+
+
+def further(broken: DataFrame, first: int, last: int, most: int = BITS) -> DataFrame:
+    """(a, b): the near pairs of the rows `first` to `last` of each tree with later rows of other components."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for block in whole_runs(batches, "tree"):
+            node, component, wide = block["node"].to_numpy(), block["component"].to_numpy(), block[_LONGS].to_numpy()
+            table, found, n = distances(wide), [], 0
+            for tree in run_slices(block["tree"].to_numpy()):
+                for i in range(min(tree.start + first, tree.stop), min(tree.start + last, tree.stop)):
+                    rest = np.arange(i + 1, tree.stop)
+                    rest = rest[component[rest] != component[i]]
+                    rest = rest[near(wide, table, i, rest, most)]
+                    found.append(pd.DataFrame({"a": np.full(len(rest), node[i]), "b": node[rest]}))
+                    n += len(rest)
+                    if n > _PAIRS:
+                        yield pd.concat(found)
+                        found, n = [], 0
+            if found:
+                yield pd.concat(found)
+
+    return _ordered(broken.repartition("tree").sortWithinPartitions("tree", "node").mapInPandas(run, "a bigint, b bigint"))
+
+
+def alike(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], least: float = LEAST, most: int = BITS) -> DataFrame:
+    """(a, b): verified pairs that link what all verified near pairs of all runs link; texts(pairs) are the (node, text) of their ends."""
+    found = cut(trees(distinct, most))
+    pairs = cut(_ordered(found.where("parent is not null").select(F.col("parent").alias("a"), F.col("node").alias("b"))))
+    good, tried = cut(verified(pairs, texts(pairs), least)), pairs
+    # In a tree of two rows the one pair was tried.
+    rest, first, last = found.where("size > 2").select("tree", "node", *_LONGS), 0, FIRST
+    while True:
+        named = labels(good).select(F.col("node").alias("_n"), "component")
+        rows = rest.join(named, rest.node == F.col("_n"), "left").select("tree", "node", F.coalesce("component", "node").alias("component"), *_LONGS)
+        whole = rows.groupBy("tree").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+        broken = cut(with_totals(rows, whole.where(F.col("x") != F.col("y")).where(F.col("n") > first + 1).select("tree", "n"), "tree"))
+        longest = broken.agg(F.max("n")).first()[0]
+        if longest is None:
+            return good
+        rest = broken.select("tree", "node", *_LONGS)
+        while True:
+            pairs = cut(further(broken, first, last, most).join(tried, ["a", "b"], "left_anti"))
+            first, last = last, last * (GROWTH + 1)
+            if not pairs.isEmpty():
+                break
+            if first >= longest - 1:
+                return good
+        tried = tried.unionByName(pairs)
+        good = good.unionByName(cut(verified(pairs, texts(pairs), least)))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
