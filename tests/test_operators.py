@@ -202,3 +202,16 @@ def test_check_components(spark):
     got = {(r.trial, r.check): r.component for r in timeline.check_components(df, ["trial"]).collect()}
     assert got == {("t", "c0"): "c0", ("t", "c1"): "c0", ("t", "c2"): "c0", ("t", "c3"): "c0", ("t", "c4"): "c4", ("t", "c5"): "c5", ("u", "c1"): "c1"}
     assert timeline.check_components(df.where("false"), ["trial"]).count() == 0
+
+
+@pytest.mark.parametrize("name", ["stat_rank_sum", "stat_wilcoxon_exact", "stat_freeman_halton", "stat_bootstrap_ci"])
+def test_statistics_take_in_every_part(spark, monkeypatch, name):
+    from wayfold.plans import general
+
+    seen, sf = [], "/root/testdata/sf0.01"
+    for f in ("grouped", "bootstrap_mean"):
+        monkeypatch.setattr(general.stats, f, lambda rows, *a: seen.append(rows) or rows.withColumn("p", F.lit(1.0)))
+    general.QUERIES[name](spark, sf)
+    assert seen[0].count() == spark.read.parquet(f"{sf}/part.parquet").count()
+    if name != "stat_bootstrap_ci":
+        assert seen[0].groupBy("g").count().agg(F.max("count")).first()[0] <= 20

@@ -284,9 +284,23 @@ def friedman(spark, d):
     return stats.friedman(v.join(whole, "block", "left_semi"), "block", "arm", "x")
 
 
+_FAMILY = "with p as (select p_partkey // 20 as f, p_partkey as g, least(1.0, p_size / 50.0 * (p_partkey % 50 + 1) / 50.0) as p from part), r as (select *, (count(*) over (partition by f) - row_number() over (partition by f order by p, g) + 1) * p as x from p) select f, round(max(a), 9) as worst, round(sum(a), 6) as total from (select f, least(1.0, max(x) over (partition by f order by p, g rows unbounded preceding)) as a from r) group by 1"
+
+
+def _of_twenty():
+    """Twenty parts to a sample, so that exact tests stay small and take in the whole table."""
+    return F.floor(F.col("p_partkey") / 20).alias("g")
+
+
+@query("stat_holm_families", _FAMILY)
+def holm_families(spark, d):
+    p = read(spark, d, "part").select(F.floor(F.col("p_partkey") / 20).alias("f"), F.least(F.lit(1.0), F.col("p_size") / 50.0 * (F.col("p_partkey") % 50 + 1) / 50.0).alias("p"))
+    return p.withColumn("a", stats.holm("p", ["f"])).groupBy("f").agg(F.round(F.max("a"), 9).alias("worst"), F.round(F.sum("a"), 6).alias("total"))
+
+
 @query("stat_rank_sum")
 def rank_sum(spark, d):
-    rows = read(spark, d, "part").where("p_partkey <= 200").select((F.col("p_partkey") % 10).alias("g"), (F.col("p_partkey") % 3).alias("stratum"), (F.col("p_partkey") % 7 < 3).alias("first"), F.col("p_size").cast("double").alias("v"))
+    rows = read(spark, d, "part").select(_of_twenty(), (F.col("p_partkey") % 3).alias("stratum"), (F.col("p_partkey") % 7 < 3).alias("first"), F.col("p_size").cast("double").alias("v"))
 
     def test(part):
         return stats.rank_sum([(s[s["first"]]["v"].tolist(), s[~s["first"]]["v"].tolist()) for _, s in part.groupby("stratum")])
@@ -296,13 +310,13 @@ def rank_sum(spark, d):
 
 @query("stat_wilcoxon_exact")
 def wilcoxon(spark, d):
-    rows = read(spark, d, "part").where("p_partkey <= 200").select((F.col("p_partkey") % 10).alias("g"), (F.col("p_size") - 24).cast("double").alias("v"))
+    rows = read(spark, d, "part").select(_of_twenty(), (F.col("p_size") - 24).cast("double").alias("v"))
     return stats.grouped(rows, ["g"], lambda part: stats.wilcoxon(part["v"].tolist())).withColumn("p", F.round("p", 9))
 
 
 @query("stat_freeman_halton")
 def freeman_halton(spark, d):
-    rows = read(spark, d, "part").where("p_partkey <= 120").select((F.col("p_partkey") % 4).alias("g"), (F.col("p_partkey") % 3).alias("r"), (F.col("p_size") > 25).alias("y"))
+    rows = read(spark, d, "part").select(_of_twenty(), (F.col("p_partkey") % 3).alias("r"), (F.col("p_size") > 25).alias("y"))
 
     def test(part):
         return stats.freeman_halton([(int(s["y"].sum()), int((~s["y"]).sum())) for _, s in part.groupby("r")])
@@ -312,7 +326,7 @@ def freeman_halton(spark, d):
 
 @query("stat_bootstrap_ci")
 def bootstrap(spark, d):
-    rows = read(spark, d, "part").where("p_partkey <= 200").select((F.col("p_partkey") % 4).alias("g"), F.col("p_size").cast("double").alias("v"))
+    rows = read(spark, d, "part").select((F.col("p_partkey") % 4).alias("g"), F.col("p_size").cast("double").alias("v"))
     return stats.bootstrap_mean(rows, ["g"], "v", 500)
 
 
