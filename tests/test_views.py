@@ -172,3 +172,17 @@ def test_views_do_not_depend_on_other_trials(spark):
     one, two = a.tables(spark), both.tables(spark)
     for name, build in views.VIEWS.items():
         assert build(one).exceptAll(build(two).where("trial_id = 'a'")).count() == 0, name
+
+
+def test_questions_in_full(spark):
+    from wayfold.plans import catalog
+    from wayfold.sources import adapter
+
+    sf = "/root/testdata/sf0.001"
+    t = adapter.model(spark, sf)
+    calls = catalog.QUERIES["q4_calls_whole"](spark, sf)
+    assert calls.count() == views.step_flags(t).where("is_tool_call").count()
+    assert calls.where("not has_error_marker").count() > 0
+    diffs = catalog.QUERIES["q3b_diffs_whole"](spark, sf)
+    assert diffs.count() == views.delta_flags(t).where("not is_cache").join(t["deltas"].where("hunk is not null"), ["trial_id", "step_idx", "path"]).count()
+    assert diffs.where("op <> 'add'").count() > 0
