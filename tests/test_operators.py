@@ -215,3 +215,15 @@ def test_statistics_take_in_every_part(spark, monkeypatch, name):
     assert seen[0].count() == spark.read.parquet(f"{sf}/part.parquet").count()
     if name != "stat_bootstrap_ci":
         assert seen[0].groupBy("g").count().agg(F.max("count")).first()[0] <= 20
+
+
+def test_timelines_take_in_every_line(spark):
+    from wayfold.plans import general
+
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    marks = general.QUERIES["status_marks_whole"](spark, sf).agg(F.sum(F.length("marks"))).first()[0]
+    assert marks == lines.count()
+    checks = general.QUERIES["check_classify_whole"](spark, sf).count()
+    assert checks == lines.select("l_suppkey", "l_linenumber").distinct().count()
+    assert not any("l_quantity" in general.ORACLE[f"{n}_whole"] for n in ("check_classify", "status_marks", "stat_quorum_verdict", "plan_replays"))

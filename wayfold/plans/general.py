@@ -376,10 +376,10 @@ def funnel(spark, d):
 _LINE = "tl as (select l_suppkey as trial, l_linenumber as chk, row_number() over (partition by l_suppkey, l_linenumber order by l_shipdate, l_orderkey, l_partkey) - 1 as idx, case when l_discount = 0.1 then 'flaky' when l_returnflag = 'A' then 'failed' else 'passed' end as status from lineitem where l_quantity < 8)"
 
 
-def _timeline(spark, d) -> DataFrame:
+def _timeline(spark, d, rows: str = "l_quantity < 8") -> DataFrame:
     w = Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_shipdate", "l_orderkey", "l_partkey")
     status = F.when(F.col("l_discount") == 0.1, "flaky").when(F.col("l_returnflag") == "A", "failed").otherwise("passed")
-    return read(spark, d, "lineitem").where("l_quantity < 8").select(F.col("l_suppkey").alias("trial"), F.col("l_linenumber").alias("check"), (F.row_number().over(w) - 1).alias("index"), status.alias("status"))
+    return read(spark, d, "lineitem").where(rows).select(F.col("l_suppkey").alias("trial"), F.col("l_linenumber").alias("check"), (F.row_number().over(w) - 1).alias("index"), status.alias("status"))
 
 
 @query("check_classify", f"""with {_LINE}, p as (select trial, chk, list(status order by idx) as s from tl group by all),
@@ -398,8 +398,8 @@ def status_marks(spark, d):
 _SAMPLE = "sm as (select l_suppkey as trial, l_orderkey % 7 as state, l_orderkey as sample, l_linenumber as chk, min(l_returnflag) as status from lineitem where l_quantity < 6 group by all)"
 
 
-def _samples(spark, d) -> DataFrame:
-    rows = read(spark, d, "lineitem").where("l_quantity < 6")
+def _samples(spark, d, rows: str = "l_quantity < 6") -> DataFrame:
+    rows = read(spark, d, "lineitem").where(rows)
     return rows.groupBy(F.col("l_suppkey").alias("trial"), (F.col("l_orderkey") % 7).alias("state"), F.col("l_orderkey").alias("sample"), F.col("l_linenumber").alias("check")).agg(F.min("l_returnflag").alias("status"))
 
 
@@ -412,3 +412,19 @@ def quorum(spark, d):
 def plan_replays(spark, d):
     s = _samples(spark, d)
     return timeline.missing_replays(s.select("trial", "state").distinct(), s, ["trial"])
+
+
+# The same over all of lineitem.
+def _whole(name: str, build) -> None:
+    register(f"{name}_whole", build, ORACLE[name].replace(" where l_quantity < 8)", ")").replace(" where l_quantity < 6 group", " group"))
+
+
+def _all_replays(spark, d):
+    s = _samples(spark, d, "true")
+    return timeline.missing_replays(s.select("trial", "state").distinct(), s, ["trial"])
+
+
+_whole("check_classify", lambda spark, d: timeline.classify(_timeline(spark, d, "true"), ["trial", "check"]))
+_whole("status_marks", lambda spark, d: timeline.status_marks(_timeline(spark, d, "true"), ["trial"]))
+_whole("stat_quorum_verdict", lambda spark, d: timeline.verdicts(_samples(spark, d, "true"), ["trial"]))
+_whole("plan_replays", _all_replays)
