@@ -1,6 +1,7 @@
 """The operators against brute force, planted cases and held-out accuracy."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -198,29 +199,73 @@ def test_op6_targets_and_taken(few_docs):
     taken = defaultdict(int)
     for r in out:
         assert r.size == sizes[r.doc_id] and 0 <= r.taken <= 2 * r.size and r.source_size == by[r.source]
-        assert r.target == pytest.approx(goal[r.source])
+        assert r.target == pytest.approx(goal[r.source]) and (r.first_slot is None) == (r.taken == 0)
         taken[r.source] += r.taken
-    assert all(abs(taken[s] - goal[s]) <= 1 for s in by)
+    assert all(abs(taken[s] - goal[s]) <= 0.01 * goal[s] for s in by)
     assert sorted(out) == sorted(source_mix.mixed(few_docs.repartition(5)).collect())
 
 
-def test_op6_small_blocks_and_schedule_order(few_docs):
-    goal = source_mix.targets(source_mix.sizes(few_docs))
-    slots = source_mix.schedule(goal, 64).toPandas()
-    assert slots["place"].is_unique or len(slots) - slots["place"].nunique() < 40
-    n = slots.groupby("source")["rank"].agg(["count", "max"])
-    assert (n["count"] == n["max"] + 1).all()
-    # any long stretch of the schedule has the sources in their shares
-    share = slots["source"].value_counts(normalize=True)
-    part = slots[slots["place"] < len(slots) // 2]["source"].value_counts(normalize=True)
-    assert (share - part).abs().max() < 0.02
-    assert source_mix.mixed(few_docs, block=64).agg(F.sum("taken")).first()[0] == pytest.approx(goal.agg(F.sum("target")).first()[0], abs=21)
-
-
-def test_op6_mix_takes_whole_documents(few_docs):
+def plain_schedule(goal, block, least):
+    """(source, rank) by place, with exact fractions of the same rule."""
+    unit = {r.source: max(1, min(block, r.source_size // least)) for r in goal}
+    blocks = {r.source: -(-r.source_size // unit[r.source]) for r in goal}
+    want = {r.source: r.target * blocks[r.source] / r.source_size for r in goal}
+    names, total = sorted(want), sum(want.values())
+    edges = np.cumsum([want[s] for s in names]) / total
+    n, ranks, out = int(-(-total // 1)), Counter(), {}
+    for place in range(n):
+        point = place * (math.sqrt(5) - 1) / 2 % 1.0
+        s = names[min(int(np.searchsorted(edges, point, "right")), len(names) - 1)]
+        if ranks[s] < math.ceil(2 * blocks[s]):
+            out[place] = (s, ranks[s])
+        ranks[s] += 1
+    return out, blocks, unit
+
+
+def test_op6_schedule_against_its_rule(few_docs):
+    goal = source_mix.targets(source_mix.sizes(few_docs)).cache()
+    for block, least in ((64, 8), (128, 512)):
+        expect, _, _ = plain_schedule(goal.collect(), block, least)
+        got = {r.place: (r.source, r.rank) for r in source_mix.schedule(goal, block, least=least).collect()}
+        assert got == expect
+    # Any stretch of the schedule has the sources in their shares.
+    share, part = (Counter(s for p, (s, _) in got.items() if p < end) for end in (len(got) + 1, len(got) // 3))
+    assert all(abs(share[s] / 3 - part[s]) <= 4 for s in share)
+
+
+def test_op6_points_decide_what_is_taken(few_docs, monkeypatch):
+    """Each block is taken as often as its slots say, and other points take other words."""
+    goal = source_mix.targets(source_mix.sizes(few_docs)).collect()
+    expect, blocks, unit = plain_schedule(goal, 128, 512)
+    slots = Counter((s, r % blocks[s]) for s, r in expect.values())
+    rows = source_mix.mixed(few_docs).collect()
+    by = defaultdict(list)
+    for r in sorted(rows, key=lambda r: (r.h, r.h2, r.size)):
+        by[r.source].append(r)
+    place = {(s, r): p for p, (s, r) in expect.items()}
+    for s, members in by.items():
+        start = 0
+        for r in members:
+            own = [(start + i) // unit[s] for i in range(r.size)]
+            assert r.taken == sum(slots[s, b] for b in own)
+            assert r.first_slot == min((place[s, b] for b in own if (s, b) in place), default=None)
+            start += r.size
+    plain = lambda n, goal: goal.sparkSession.range(n).select(F.col("id").alias("place"), (F.col("id") * 0.137 % 1.0).alias("point"))
+    monkeypatch.setattr(source_mix, "points", plain)
+    assert {r.doc_id: r.taken for r in source_mix.mixed(few_docs).collect()} != {r.doc_id: r.taken for r in rows}
+
+
+def test_op6_mix_takes_whole_documents_in_the_order_of_slots(few_docs, spark):
     plan = source_mix.mixed(few_docs).collect()
-    copies = {r.doc_id: -(-r.taken // r.size) for r in plan if r.taken}
-    assert Counter(r.doc_id for r in source_mix.mix(few_docs).select("doc_id").collect()) == Counter(copies)
+    expect = sorted((p, r.h, r.h2, r.doc_id) for r in plan for p in r.places or () if p is not None)
+    assert [r.doc_id for r in source_mix.mix(few_docs).collect()] == [x[-1] for x in expect]
+    # Equal rows are taken as often as all of them together, whatever the columns are named.
+    rows = [(1, "a b c d e f g h " * 4, "s")] * 7 + [(2, "x y " * 50, "s"), (3, "z", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumns({c: F.lit(1) for c in ("_copies", "h", "place", "row", "_h", "H2")})
+    plan = source_mix.mixed(docs).collect()
+    count = Counter(r.doc_id for r in plan for p in r.places or () if p is not None)
+    out = source_mix.mix(docs)
+    assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == count and count[1] > 2
 
 
 def test_op7_held_out_accuracy(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,13 +18,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` to the checkpoint folder all executors share, and go on from there.
 
-    The folder is the session's spark.checkpoint.dir; one is set only where none is."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
+    The folder is the session's spark.checkpoint.dir (checkpoint_dir)."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir. Where it is not set, a local session gets a new
+    folder of its own; a cluster has no folder that is known to be shared, so the job stops."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def n_words(text: Column | str) -> Column:
     """Words of a text as a long; null counts 0."""
     text = F.col(text) if isinstance(text, str) else text
@@ -34,6 +48,12 @@ def row_key(*cols: str) -> Column:
     return F.xxhash64(*cols)
 
 
+def row_id(docs: DataFrame, *cols: str) -> tuple[Column, Column]:
+    """Two hashes that tell any two different rows apart, or rows that differ in `cols`; maps, which have no hash, are left out."""
+    named = [F.col(f"`{c}`") for c, kind in docs.dtypes if (c in cols if cols else "map<" not in kind)]
+    return F.xxhash64(F.lit(1), *named), F.xxhash64(F.lit(2), *named)
+
+
 def with_totals(rows: DataFrame, totals: DataFrame, key: str) -> DataFrame:
     """`rows` joined to `totals`, an aggregate by `key`, where one key may have a great share of the rows.
 

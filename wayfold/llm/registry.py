@@ -42,7 +42,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = source_mix.mixed(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,37 +3,45 @@
 1. Sizes in words; sources by code point (null last) get the weights in turn. Targets share `share` of all
    words by weight and stop at `most` times their source's size; what is over goes to the others by weight,
    which is one water level: target = least(most * size, level * weight).
-2. Within a source, documents are laid end to end in the order of a hash of their key (the shuffle) and cut
-   into equal blocks of words. The running sum has two levels: sums of hash buckets, then rows of a bucket,
-   so a source with a third of all rows is spread over its buckets.
-3. Slot k of the schedule has the point frac(k * golden ratio), mapped through the cumulative target shares
-   to a source; the r-th slot of a source takes its r-th block, and block r mod n on the second round. A
-   source's last slot is cut to its target. A block whose slot the points leave out (each source is within
-   a few slots of its share) comes at the end of the schedule.
-
-Only built-in functions. Reruns agree: the order is a hash of (key, text hash), the points are a formula.
+2. Within a source, documents are laid end to end in the order of a hash of the row (the shuffle) and cut
+   into blocks of equal words: `block`, or fewer where a source has not `least` such blocks. The running sum has
+   two levels: sums of hash buckets, then rows of a bucket, so a source with a third of all rows is spread over
+   its buckets.
+3. The schedule has a slot for each block that the targets ask for. Slot k has the point frac(k * golden ratio),
+   and the cumulative shares of the sources map the point to a source. The slots of a source are ranked, slot r takes
+   the source's block r, and block r mod n from the second round on; it takes the block whole. So the points decide how many blocks
+   of a source are taken and in what order: a source has its share of the slots to within a few, and of any stretch of
+   them too. A slot that comes after all `most` rounds of its source stays empty.
+
+Only built-in functions. Reruns agree: the order is a hash of the row, the points are a formula.
 
 Defined results: a null or blank text has size 0 and is taken 0 times; null is a source of its own; repeated
 rows are laid one after the other; an empty table, or one without words, gives targets of 0; other columns
-of the input stay with mix(), clashing names included."""
+of the input stay with mix(), whatever their names (map columns do not tell rows apart)."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from math import ceil
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, n_words, row_key
+from wayfold.llm.common import cut, n_words, row_id
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 MOST = 2.0
-BLOCK_WORDS = 1024
-GOLDEN = 0.6180339887498949
+#: Words of a block, and the blocks that a source is cut into at the least, if it has as many words.
+BLOCK_WORDS = 128
+LEAST_BLOCKS = 512
+#: frac(golden ratio), and frac(2^20 * golden ratio): a slot's number is split at 2^20 so that doubles hold its point.
+GOLDEN, GOLDEN_HIGH = 0.6180339887498949, 0.607787409740351
 
 
 def sizes(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """(key, source, size, h): size in words, h the place in the shuffle."""
-    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), row_key(key, text).alias("h"))
+    """(key, source, size, h, h2): size in words, h the place in the shuffle; (h, h2) tells rows apart."""
+    h, h2 = row_id(docs)
+    return docs.select(F.col(key).alias("key"), F.col(source).alias("source"), n_words(text).alias("size"), h.alias("h"), h2.alias("h2"))
 
 
 def _all() -> "Window":
@@ -87,75 +95,84 @@ def laid(sized: DataFrame, goal: DataFrame) -> DataFrame:
     rows = _with(sized, goal.select("source", "source_rows", "source_size", "target"), "source")
     n = F.ceil(F.sqrt("source_rows")).cast("double")
     rows = rows.withColumn("bucket", F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * n).cast("long"))
-    return running(rows, F.col("size"), ["h", "key", "size"], "start").drop("bucket")
+    return running(rows, F.col("size"), ["h", "h2", "size"], "start").drop("bucket")
+
+
+def block_of(source_size, block: int = BLOCK_WORDS, least: int = LEAST_BLOCKS):
+    """Words of a block of a source."""
+    return F.greatest(F.lit(1), F.least(F.lit(block), F.floor(source_size / least)))
+
+
+def points(n: int, goal: DataFrame):
+    """(place, point): the points of `n` slots, in [0, 1)."""
+    high, low = F.shiftright("id", 20), F.col("id").bitwiseAND((1 << 20) - 1)
+    return goal.sparkSession.range(n).select(F.col("id").alias("place"), ((high * GOLDEN_HIGH + low * GOLDEN) % 1.0).alias("point"))
 
 
-def schedule(goal: DataFrame, block: int = BLOCK_WORDS, cells: int = 1024) -> DataFrame:
-    """(source, rank, place): the rank-th slot of a source is the place-th of the whole schedule.
+def schedule(goal: DataFrame, block: int = BLOCK_WORDS, most: float = MOST, least: int = LEAST_BLOCKS) -> DataFrame:
+    """(source, rank, place, blocks): the rank-th slot of a source, which has `blocks` blocks, is the place-th of all.
 
-    Points meet the cumulative shares in cells of the unit interval, by an equal-key join."""
+    A place is one slot's alone. Points meet the cumulative shares in cells of the unit interval, by an equal-key join; there are
+    more cells than sources, so that few sources share one."""
+    words = block_of(F.col("source_size"), block, least)
+    goal = goal.where("target > 0").withColumn("blocks", F.ceil(F.col("source_size") / words))
+    goal = goal.withColumn("want", F.col("target") * F.col("blocks") / F.col("source_size"))
     by_source = Window.orderBy(F.col("source").asc_nulls_last())
-    high = F.sum("target").over(by_source.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("target").over(_all())
-    shares = goal.where("target > 0").withColumn("high", high)
-    shares = shares.withColumn("low", F.coalesce(F.lag("high").over(by_source), F.lit(0.0)))
-    shares = shares.withColumn("cell", F.explode(F.sequence(F.floor(F.col("low") * cells), F.least(F.floor(F.col("high") * cells), F.lit(cells - 1)))))
-    n = int(goal.agg(F.ceil(F.coalesce(F.sum("target"), F.lit(0.0)) / block).alias("n")).first().n)
-    points = goal.sparkSession.range(n).select(F.col("id").alias("place"), ((F.col("id") * GOLDEN) % 1.0).alias("point"))
-    points = points.withColumn("cell", F.floor(F.col("point") * cells))
-    slots = points.join(shares, "cell").where((F.col("point") >= F.col("low")) & (F.col("point") < F.col("high")))
-    slots = slots.select("source", "place", F.floor(F.col("place") / (int(n**0.5) + 1)).alias("bucket"))
-    slots = running(slots, F.lit(1), ["place"], "rank").select("source", "rank", "place")
-    # Ranks that the points leave out, at the end: a source is within a few slots of its share.
-    made = goal.where("target > 0").select("source", _slots_needed(block).alias("need"))
-    counts = slots.groupBy("source").agg(F.count("*").alias("n")).select(F.col("source").alias("s"), "n")
-    made = made.join(counts, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "need", F.coalesce("n", F.lit(0)).alias("n"))
-    late = made.where("need > n").select("source", F.explode(F.sequence(F.col("n"), F.col("need") - 1)).alias("rank"))
-    late = late.withColumn("place", F.lit(n) + F.col("rank"))
-    slots = _with(slots, made.select("source", "need"), "source").where("rank < need").drop("need")
-    return slots.unionByName(late)
-
-
-def _blocks(block: int):
-    return F.ceil(F.col("source_size") / block)
-
-
-def _slots_needed(block: int):
-    """Slots of a source until its words reach the target: whole rounds, then blocks of the last one."""
-    words = F.floor("target")
-    rounds = F.floor(words / F.col("source_size"))
-    return rounds * _blocks(block) + F.ceil((words - rounds * F.col("source_size")) / block)
+    high = F.sum("want").over(by_source.rowsBetween(Window.unboundedPreceding, Window.currentRow)) / F.sum("want").over(_all())
+    shares = cut(goal.withColumn("high", high).withColumn("low", F.coalesce(F.lag("high").over(by_source), F.lit(0.0))))
+    size = shares.agg(F.ceil(F.coalesce(F.sum("want"), F.lit(0.0))).alias("slots"), F.count("*").alias("sources")).first()
+    cells = 1024 + 4 * size.sources
+    last = F.least(F.floor(F.col("high") * cells), F.lit(cells - 1))
+    shares = shares.withColumn("cell", F.explode(F.sequence(F.least(F.floor(F.col("low") * cells), F.lit(cells - 1)), last)))
+    # The last source ends at 1, whatever the sums were rounded to.
+    top = F.when(F.col("high") > 1 - 1e-9, F.lit(1.0)).otherwise(F.col("high"))
+    slots = points(size.slots, goal).withColumn("cell", F.floor(F.col("point") * cells)).join(shares, "cell")
+    slots = slots.where((F.col("point") >= F.col("low")) & (F.col("point") < top))
+    slots = slots.select("source", "place", "blocks", F.floor(F.col("place") / (int(size.slots**0.5) + 1)).alias("bucket"))
+    slots = running(slots, F.lit(1), ["place"], "rank")
+    return slots.where(F.col("rank") < F.ceil(most * F.col("blocks"))).select("source", "rank", "place", "blocks")
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", weights=WEIGHTS,
-          share: float = SHARE, most: float = MOST, block: int = BLOCK_WORDS) -> DataFrame:
-    """(key, h, source, size, source_size, target, taken) of every row: taken counts repeats."""
+          share: float = SHARE, most: float = MOST, block: int = BLOCK_WORDS, least: int = LEAST_BLOCKS) -> DataFrame:
+    """(key, h, h2, source, size, source_size, target, taken, first_slot, places) of every row: taken counts repeats; places
+    holds the first slot that takes from the row in each round, null where none does."""
     sized = cut(sizes(docs, key, text, source))
     goal = cut(targets(sized, weights, share, most))
-    rows = laid(sized, goal)
+    rows = laid(sized, goal).withColumn("unit", block_of(F.col("source_size"), block, least))
     pieces = rows.where("size > 0").withColumn("block", F.explode(F.sequence(
-        F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
-    slots = _with(schedule(goal, block), goal.select("source", "source_size", "target"), "source")
-    n = _blocks(block)
-    slots = slots.select("source", (F.col("rank") % n).alias("block"), (
-        F.floor("target") - F.floor(F.col("rank") / n) * F.col("source_size") - (F.col("rank") % n) * block).alias("limit"))
-    # A block is taken once a round: whole, but for the slot that reaches the target.
-    slots = slots.groupBy("source", "block").agg(F.collect_list("limit").alias("limits"))
-    low = F.greatest(F.col("start") - F.col("block") * block, F.lit(0))
-    high = F.least(F.col("start") + F.col("size") - F.col("block") * block, F.lit(block))
-    slots = slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "limits")
+        F.floor(F.col("start") / F.col("unit")), F.floor((F.col("start") + F.col("size") - 1) / F.col("unit")))))
+    slots = schedule(goal, block, most, least).select("source", (F.col("rank") % F.col("blocks")).alias("block"), "place")
+    slots = slots.groupBy("source", "block").agg(F.sort_array(F.collect_list("place")).alias("slots"))
+    slots = slots.select(F.col("source").alias("s"), F.col("block").alias("b"), "slots")
     met = pieces.join(slots, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")), "left")
-    words = F.aggregate(F.coalesce("limits", F.array()), F.lit(0).cast("long"), lambda a, x: a + F.greatest(F.least(x, high) - low, F.lit(0)))
-    columns = ["key", "h", "source", "size", "source_size", "target"]
-    taken = met.withColumn("words", words).groupBy(*columns, "start").agg(F.sum("words").alias("taken")).drop("start")
-    none = rows.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"))
-    return taken.unionByName(none).withColumnRenamed("key", key)
+    low = F.greatest(F.col("start"), F.col("block") * F.col("unit"))
+    high = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("unit"))
+    words = (high - low) * F.greatest(F.size("slots"), F.lit(0))
+    columns = ["key", "h", "h2", "source", "size", "source_size", "target"]
+    by_round = [F.min(F.get("slots", F.lit(i))).alias(f"_{i}") for i in range(ceil(most))]
+    taken = met.withColumn("words", words).groupBy(*columns, "start").agg(F.sum("words").alias("taken"), *by_round)
+    taken = taken.select(*columns, "taken", F.array(*[f"_{i}" for i in range(ceil(most))]).alias("places"))
+    none = rows.where("size = 0").select(*columns, F.lit(0).cast("long").alias("taken"), F.lit(None).cast("array<bigint>").alias("places"))
+    out = taken.unionByName(none)
+    return out.select(F.col("key").alias(key), *columns[1:], "taken", F.array_min("places").alias("first_slot"), "places")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **how) -> DataFrame:
-    """The documents of the mix, whole, with all their columns: as often as the mix takes from them, at most
-    ceil(most) times. The one document of a source that its target cuts is taken whole."""
-    plan = mixed(docs, key, text, source, **how).where("taken > 0")
-    plan = plan.groupBy(F.col("h").alias("_h")).agg(F.sum(F.ceil(F.col("taken") / F.col("size"))).cast("int").alias("_copies"))
-    # Equal rows are one row here, with the copies of all of them.
-    rows = docs.withColumn("_h", row_key(key, text)).join(plan, "_h").dropDuplicates(["_h"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(c) for c in docs.columns])
+    """The documents of the mix, whole, with all their columns, in the order of the schedule (in a slot, of the shuffle): as often as the mix takes from them,
+    at most ceil(most) times. A document that a source's last block cuts is taken whole."""
+    plan = mixed(docs, key, text, source, **how).select("h", "h2", F.explode("places").alias("place")).where("place is not null")
+    many = plan.groupBy("h", "h2").agg(F.count("*").alias("n"), F.count_distinct("place").alias("d"), F.min("place").alias("x"), F.max("place").alias("y"))
+    h, h2 = row_id(docs)
+    rows = docs.select(F.struct("*").alias("row"), h.alias("h"), h2.alias("h2")).join(many, ["h", "h2"])
+    # A row of one or two slots carries them. Rows that repeat have more: one row of each kind meets its slots one by one.
+    few = rows.where("n <= 2").select("row", "h", "h2", F.explode(F.when(F.col("n") == 1, F.array("x")).otherwise(F.array("x", "y"))).alias("place"))
+    rest = rows.where("n > 2").select("row", "h", "h2")
+    out = few.dropDuplicates(["h", "h2", "place"]).select("row", "place", "h", "h2").unionByName(_spread(rest, plan.join(many.where("n > 2").select("h", "h2"), ["h", "h2"])))
+    return out.repartitionByRange("place", "h", "h2").sortWithinPartitions("place", "h", "h2").select("row.*")
+
+
+def _spread(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """(row, place, h, h2) for every row of `plan`, from one row of each (h, h2); the join may split a row with many slots."""
+    one = rows.dropDuplicates(["h", "h2"]).select(F.struct("h", "h2").alias("id"), "row")
+    return plan.select(F.struct("h", "h2").alias("at"), "place").join(one, F.col("at") == F.col("id")).select("row", "place", "id.h", "id.h2")
