@@ -379,6 +379,103 @@ def test_op9_links_threads_and_cleans(spark):
         (1, 3, None, 3, 0, 0, "no quote\n"), (1, 4, 3, 3, 1, 1, "yes"), (1, 5, 4, 3, 2, 1, "both"), (2, 1, None, 1, 0, 1, "other")]
 
 
+def plain_replies(rows):
+    """reply_to of each (conv, turn): quoted passages against all earlier messages, word by word as the rule says."""
+    def normal(x):
+        return re.sub(r"[\s\xa0\x1e\x1f]+", " ", x.lower()).strip(" ")
+
+    def split(text):
+        out = []
+        for line in (text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n"):
+            marks = re.match(r" {0,3}(?:> ?)+", line)
+            level = marks[0].count(">") if marks else 0
+            body = line[marks.end() if marks else 0 :]
+            if out and out[-1][0] == level:
+                out[-1][1].append(body)
+            else:
+                out.append((level, [body]))
+        return out
+
+    def parts(lines):
+        whole = normal("\n".join(lines))
+        said = re.sub(r"([.!?]) ", r"\1\n", whole).split("\n")
+        return whole, ({x for x in map(normal, lines) if x}, set(said), {f"{a} {b}" for a, b in zip(said, said[1:], strict=False)}, {whole})
+
+    own, out = defaultdict(lambda: defaultdict(set)), {}
+    for conv, turn, _, text in rows:
+        for level, lines in split(text):
+            whole, grains = parts(lines)
+            if not level and whole:
+                own[conv][turn] |= set().union(*grains)
+    for conv, turn, _, text in rows:
+        level_of, sums = {}, Counter()
+        for level, lines in split(text):
+            whole, grains = parts(lines)
+            if not level or not whole:
+                continue
+            votes = defaultdict(lambda: [0, 0, 0, 0])
+            for g, grain in enumerate(grains):
+                for u in grain:
+                    having = [t for t in own[conv] if t < turn and u in own[conv][t]]
+                    for t in {min(having), max(having)} if having else ():
+                        votes[t][g] += len(u.split(" "))
+            if votes:
+                rank = {t: (v[3] > 0, v[2], len(whole.split(" ")) if v[3] else max(v[0], v[1]), t) for t, v in votes.items()}
+                t = max(rank, key=rank.get)
+                level_of[t] = min(level, level_of.get(t, level))
+                sums[t] += rank[t][2]
+        if level_of:
+            out[conv, turn] = max(level_of, key=lambda t: (-level_of[t], sums[t], t))
+    return out
+
+
+def test_op9_against_brute_force_on_threads(spark):
+    """Conversations that quote whole messages, parts, lines wrapped anew, several levels, common lines and strangers."""
+    draw = random.Random(9)
+    common = ["Thanks.", "Hello all,", "Best wishes", "+1", "See above."]
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(0, 900 if conv == 3 else 40, 3 if conv == 3 else 1):
+            lines = []
+            for _ in range(draw.randrange(3) if said else 0):
+                level, old = draw.randrange(1, 3), draw.choice(said[-30:]).split("\n")
+                kind = draw.randrange(5)
+                if kind == 1:
+                    old = old[: draw.randrange(1, len(old) + 1)]
+                elif kind == 2:
+                    every = " ".join(old).split(" ")
+                    old = [" ".join(every[i : i + 5]) for i in range(0, len(every), 5)]
+                elif kind == 3:
+                    old = ["Nobody has said this."]
+                elif kind == 4:
+                    old = [x.upper() + "  " for x in draw.sample(old, 1)]
+                lines += ["> " * level + x for x in old] + draw.choice([[], ["", "Le lundi, Ann a écrit :"]])
+            own = "\n".join([draw.choice(common), *(" ".join(draw.choice("red green blue one two".split()) for _ in range(draw.randrange(1, 7))) + draw.choice(". ! ?".split()) for _ in range(draw.randrange(4)))])
+            rows.append((conv, turn, "user", "\n".join([*lines, own])))
+            said.append(own)
+    out = chat_format.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    expect = plain_replies(rows)
+    assert len(expect) > 200 and {(r.conv_id, r.turn): r.reply_to for r in out if r.reply_to is not None} == expect
+    for r in out:
+        at, depth = (r.conv_id, r.turn), 0
+        while at in expect:
+            at, depth = (at[0], expect[at]), depth + 1
+        assert (r.thread, r.depth) == (at[1], depth) and ">" not in r.text
+
+
+def test_op9_passage_beats_its_lines(spark):
+    rows = [(1, 1, "u", "A"), (1, 2, "u", "B"), (1, 5, "u", "A\nB"), (1, 6, "u", "> A\n> B\nyes"), (1, 7, "u", "A"), (1, 8, "u", ">A   b\nwrapped")]
+    out = chat_format.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert {r.turn: r.reply_to for r in out if r.reply_to is not None} == {6: 5, 8: 5}
+
+
+def test_op9_very_long_lines_and_runs(spark):
+    rows = [(1, 0, "u", "start " + "word " * 200_000), (1, 1, "u", ">" * 1_000_000 + " deep"), (1, 2, "u", "\n" * 200_000 + "> start\n" + "\n" * 200_000), (1, 3, "u", "> x\n" * 100_000 + "end")]
+    out = {r.turn: r for r in chat_format.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out[1].quote_levels == 1_000_000 and out[1].text == "" and out[2].text == "" and out[3].text == "end"
+
+
 def test_op9_long_reply_chain(spark):
     rows = [(1, i, "user", (f"> line {i - 1}\n" if i else "") + f"line {i}") for i in range(200)]
     out = chat_format.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
