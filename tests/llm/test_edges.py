@@ -66,3 +66,24 @@ def test_urls_and_chats_on_odd_rows(spark):
     out = chat_format.linked(chats)
     assert out.count() == 6 and all(r.reply_to is None for r in out.collect())
     assert chat_format.linked(chats.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("names", ["_text _words words grams _row _m body h h2 _h _copies _copy place _row_key row n", "N_Words KEPT H2 PLACE"])
+def test_clashing_names_stay_as_they_are(spark, names):
+    """A measure replaces a column of its own name; every other column comes through as it was."""
+    names = names.split()
+    docs = spark.createDataFrame([(1, "a b c " * 30, "s"), (2, "x", None)], "doc_id long, text string, source string").withColumns({c: F.lit(41) for c in names})
+    out = quality_rules.judge(docs)
+    assert out.count() == 2 and len({c.lower() for c in out.columns}) == len(out.columns)
+    assert {r[c] for r in out.collect() for c in names if c.lower() not in ("n_words", "kept")} == {41}
+    for stage in (quality_rules.keep_good, source_mix.mix, secret_scan.redact):
+        got = stage(docs)
+        assert got.columns == docs.columns and {r[c] for r in got.collect() for c in names} <= {41}
+
+
+def test_quality_rules_on_very_long_words_lines_and_runs(spark):
+    texts = ["w" * 2_000_000, "#" * 2_000_000, "# " * 300_000, "\n" * 500_000, "word and the " * 200_000, "a b\n" * 100_000]
+    out = quality_rules.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    got = {r.doc_id: (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) for r in out}
+    assert got == {0: (1, 2_000_000, 0, 0, 0), 1: (1, 2_000_000, 2_000_000, 0, 0), 2: (300_000, 300_000, 300_000, 0, 300_000), 3: (0, 0, 0, 0, 0),
+                   4: (600_000, 2_000_000, 0, 0, 600_000), 5: (200_000, 200_000, 0, 99_999, 200_000)}

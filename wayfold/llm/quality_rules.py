@@ -3,9 +3,9 @@
 A table of thresholds is compiled into one projection over ratios of length, symbols, stop words and
 lines. Everything is a built-in expression on one row: no shuffle, no user function.
 
-Defined results: a null text is an empty text (0 words, base_failed, not kept); repeated rows and ids are
-judged each for itself; an empty table gives no rows; other columns of the input stay, except that a
-measure replaces an input column of its own name."""
+Defined results: a null text is an empty text (0 words, base_failed, not kept); texts of any length are measured
+whole; repeated rows and ids are judged each for itself; an empty table gives no rows; other columns of the input stay, whatever
+their names, except that a measure, base_failed or kept replaces an input column of its own name in any case of letters."""
 
 from __future__ import annotations
 
@@ -26,7 +26,7 @@ STOP_WORDS = (
 
 #: Measure over measure, and the closed range in which a document stays (fixed values).
 THRESHOLDS = (
-    ("n_words", None, 50, 1_000_000),
+    ("n_words", None, 50, float("inf")),
     ("word_chars", "n_words", 1.5, 16.0),
     ("n_symbols", "n_words", 0.0, 0.25),
     ("n_stop_words", "n_words", 0.01, 1.0),
@@ -34,70 +34,73 @@ THRESHOLDS = (
     ("n_repeat_words", "n_words", 0.0, 0.5),
 )
 
-#: Low bits of a packed window hold its position: texts of up to 67 million words.
-POSITION_BITS = 26
-
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words")
 
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with the seven MEASURES as longs.
-
-    Three-word windows are packed as (hash, position) into longs and sorted, so that equal windows are
-    neighbours; the words of neighbours with one hash are compared before they count."""
-    low = (1 << POSITION_BITS) - 1
-    repeated = f"filter(_grams, (x, k) -> coalesce({_pair('k - 1', low)}, false) or coalesce({_pair('k + 1', low)}, false))"
-    clash = [c for c in docs.columns if c in MEASURES]
-    kept = docs.drop(*clash)
-    at = kept.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    at = at.withColumn("_words", F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)))
-    at = at.withColumn("_lines", F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(WORD)))
-    at = at.withColumn("_grams", F.expr(
-        f"case when size(_words) > 2 then sort_array(transform(sequence(0, size(_words) - 3), i -> "
-        f"shiftleft(xxhash64(get(_words, i), get(_words, i + 1), get(_words, i + 2)), {POSITION_BITS}) | cast(i as bigint))) "
-        "else array() end"))
-    at = at.withColumn("_starts", F.expr(f"sort_array(transform({repeated}, x -> x & {low}))"))
+    """`docs` with the seven MEASURES as longs."""
+    return _measured(docs, text).select(*_others(docs, MEASURES), "_m.*")
+
+
+def _others(docs: DataFrame, names) -> list[Column]:
+    return [F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c.lower() not in names]
+
+
+def _measured(docs: DataFrame, text: str) -> DataFrame:
+    """(_row, _m): the row, and a struct of its MEASURES.
+
+    Three-word windows are sorted by two 64-bit hashes and their position, so that equal windows are neighbours. A window
+    counts if it has its words in common with the one before it or the one after."""
+    repeated = f"filter(grams, (x, k) -> coalesce({_same('k - 1')}, false) or coalesce({_same('k + 1')}, false))"
+    at = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text), F.lit("")).alias("body"))
+    at = at.withColumn("words", F.regexp_extract_all("body", F.lit(WORD), F.lit(0)))
+    at = at.withColumn("lines", F.filter(F.split("body", "\n", -1), lambda x: x.rlike(WORD)))
+    three = "get(words, i), get(words, i + 1), get(words, i + 2)"
+    at = at.withColumn("grams", F.expr(
+        f"case when size(words) > 2 then sort_array(transform(sequence(0, size(words) - 3), i -> "
+        f"struct(xxhash64({three}) as h, xxhash64(7, {three}) as h2, i as i))) else array() end"))
+    at = at.withColumn("starts", F.expr(f"sort_array(transform({repeated}, x -> x.i))"))
     row = F.struct(
-        F.size("_words").cast("long").alias("n_words"),
-        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
-        F.length(F.regexp_replace("_text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("aggregate(_starts, named_struct('last', -3L, 'sum', 0L), "
-               "(a, s) -> named_struct('last', s, 'sum', a.sum + least(3L, s - a.last)), a -> a.sum)").alias("n_repeat_words"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.filter("_words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+        F.size("words").cast("long").alias("n_words"),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        F.length(F.regexp_replace("body", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.expr("aggregate(starts, named_struct('last', -3L, 'sum', 0L), "
+               "(a, s) -> named_struct('last', cast(s as bigint), 'sum', a.sum + least(3L, s - a.last)), a -> a.sum)").alias("n_repeat_words"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
     )
     # inline() of one struct: a filter on a measure stays above it, so that no text is measured twice.
-    return at.select(*[F.col(c) for c in kept.columns], F.inline(F.array(row)))
+    return at.select("_row", F.inline(F.array(F.struct(row.alias("_m")))))
 
 
-def _pair(k: str, low: int) -> str:
-    """SQL: window x of the sorted windows equals the window at position k."""
-    y = f"get(_grams, {k})"
-    words = " and ".join(f"get(_words, cast((x & {low}) + {i} as int)) = get(_words, cast(({y} & {low}) + {i} as int))" for i in range(3))
-    return f"(shiftright(x, {POSITION_BITS}) = shiftright({y}, {POSITION_BITS}) and {words})"
+def _same(k: str) -> str:
+    """SQL: window x has the words of the window at position k."""
+    y = f"get(grams, {k})"
+    words = " and ".join(f"get(words, x.i + {n}) = get(words, {y}.i + {n})" for n in range(3))
+    return f"(x.h = {y}.h and x.h2 = {y}.h2 and {words})"
 
 
 def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return (F.col("_m.n_words") < 50) | (100 * F.col("_m.n_repeat_words") > 50 * F.col("_m.n_words"))
 
 
 def verdict(thresholds=THRESHOLDS) -> Column:
     """The threshold table as one boolean expression over the measures."""
     tests = []
     for over, under, low, high in thresholds:
-        value = F.col(over) if under is None else F.col(over) / F.greatest(F.col(under), F.lit(1))
+        value = F.col(f"_m.{over}") if under is None else F.col(f"_m.{over}") / F.greatest(F.col(f"_m.{under}"), F.lit(1))
         tests.append(value.between(low, high))
     return reduce(lambda a, b: a & b, tests)
 
 
 def judge(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """`docs` with MEASURES, base_failed and kept."""
-    out = measures(docs.drop("base_failed", "kept"), text)
-    return out.withColumn("base_failed", base_failed()).withColumn("kept", ~base_failed() & verdict(thresholds))
+    kept = (~base_failed() & verdict(thresholds)).alias("kept")
+    return _measured(docs, text).select(*_others(docs, (*MEASURES, "base_failed", "kept")), "_m.*", base_failed().alias("base_failed"), kept)
 
 
 def keep_good(docs: DataFrame, text: str = "text", thresholds=THRESHOLDS) -> DataFrame:
     """The documents that pass, with all their own columns, whatever these are named."""
-    packed = docs.select(F.struct("*").alias("_row"), F.col(text).alias("_body"))
-    return judge(packed, "_body", thresholds).where("kept").select("_row.*")
+    rows = _measured(docs, text).where(~base_failed() & verdict(thresholds))
+    return rows.select(*[F.col(f"_row.`{c}`").alias(c) for c in docs.columns])

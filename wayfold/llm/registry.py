@@ -93,7 +93,7 @@ m as (select d.r, doc_id, len(w)::bigint as n_words, length(list_aggregate(w, 's
   from d join ln using (r) left join cov using (r)),
 f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select doc_id, n_words, coalesce(word_chars, 0) as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and {" and ".join(f"{a}::double{f' / greatest({b}, 1)' if b else ''} between {lo} and {hi}" for a, b, lo, hi in quality_rules.THRESHOLDS)} as kept
+  not base_failed and {" and ".join(f"{a}::double{f' / greatest({b}, 1)' if b else ''} between {lo} and {'1e308' if hi == float('inf') else hi}" for a, b, lo, hi in quality_rules.THRESHOLDS)} as kept
 from f""",
     "op1_url_filter": r"""
 with recursive p as (select page_id, html, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
