@@ -171,15 +171,20 @@ def test_op5_against_brute_force(few_docs):
         assert (r.n_words, r.n_removed, r.kept) == (len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
 
 
-def test_op5_small_windows_over_few_words(spark):
+@pytest.mark.parametrize("how", [{}, {"bits": 3}, {"group_rows": 4}, {"group_rows": 2, "bits": 4}, {"prefixes": (2,), "group_rows": 30}])
+def test_op5_small_windows_over_few_words(spark, how):
+    """Also with hashes that collide all the time, and with groups so small that prefixes are lengthened up to the whole window."""
     draw = random.Random(7)
     rows = [(i, " ".join(draw.choice("ab c d".split()) for _ in range(draw.randrange(60)))) for i in range(60)] + [(99, "a " * 300)]
-    out = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=8, prefix=3).collect()
+    rows += [(100 + i, "c c ab d c ab ab d d c ab " + "d " * i) for i in range(8)] + [(200 + i, rows[3][1]) for i in range(4)]
+    how = {"window": 8, "prefixes": (3, 5)} | how
+    out = substring_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()
     texts = {k: words(t) for k, t in rows}
     seen = Counter(tuple(w[i : i + 8]) for w in texts.values() for i in range(len(w) - 7))
     for r in out:
         w = texts[r.doc_id]
-        assert r.n_removed == len({i + k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(8)})
+        gone = {i + k for i in range(len(w) - 7) if seen[tuple(w[i : i + 8])] > 1 for k in range(8)}
+        assert (r.n_removed, r.kept) == (len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))
 
 
 def test_op6_targets_and_taken(few_docs):
