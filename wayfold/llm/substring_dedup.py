@@ -13,11 +13,11 @@ that fit memory, and each group's subtree is built from the words themselves.
    is a sorted array of suffixes with the longest common prefixes of neighbours, and a second one of the reversed
    words to the left. An interval with common prefixes of window - k words is an inner node that deep; its suffixes that also
    have k words to the left in common are the repeats of the windows that begin k words earlier.
-4. Windows whose longest prefix still has too many suffixes are windows that repeat as a whole many times; they are grouped by all their words, in an
+4. Windows whose longest prefix still has too many suffixes are grouped by all their words (as SHA-256), and only counted, in an
    aggregate that is combined before its shuffle.
 
-Hashes only deal suffixes out and drop what cannot repeat: two windows are called equal when their words are, compared
-as bytes. Equal texts (by 256 bits of SHA-2) repeat each other as a whole: one of them stands for all in the tree, and the others
+The other hashes only deal suffixes out and drop what cannot repeat: two windows are called equal when their words are, compared
+as bytes or by SHA-256. Equal texts (by SHA-256) repeat each other as a whole: one of them stands for all in the tree, and the others
 need no windows of their own.
 
 Defined results: a null or blank text has no words and an empty kept text; texts under `window` words lose
@@ -260,29 +260,27 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, prefixes: Sequence[i
             _, left = windows_by_level(words, [part[c].tolist() for c in part.columns if c[0] == "m"], window, prefixes)
             s = np.flatnonzero(left)
             of = words.text[s]
-            body = [b" ".join(words.data[i:j].split()) for i, j in zip(words.starts[s].tolist(), words.ends[s + window - 1].tolist(), strict=True)]
-            yield pd.DataFrame({"rk": part["rk"].to_numpy()[of], "a": (s - words.first[of]).astype(np.int32), "body": body})
+            every = [hashlib.sha256(b" ".join(words.data[i:j].split())).digest() for i, j in zip(words.starts[s].tolist(), words.ends[s + window - 1].tolist(), strict=True)]
+            yield pd.DataFrame({"rk": part["rk"].to_numpy()[of], "a": (s - words.first[of]).astype(np.int32), "all": every})
 
     same = cut(copies(docs))
     kind = "node bigint, rk bigint, p int, th bigint, again boolean"
     first = repeated(docs.select("rk", "text").mapInPandas(suffixes(0), kind), group_rows)
-    marks = [cut(first.join(same.where("not first"), "rk", "left_anti").withColumnRenamed("marks", "m0"))]
+    marks = cut(first.join(same.where("not first"), "rk", "left_anti").withColumnRenamed("marks", "m0"))
     large = "exists({}, x -> x % 2 = 1)".format
-    # All readers of the texts by rk take the same columns, so that the texts are dealt out once.
-    met = docs.join(marks[0], "rk")
-    while (left := not marks[-1].where(large(f"m{len(marks) - 1}")).isEmpty()) and len(marks) < len(prefixes):
-        i = len(marks)
-        held = met.where(large(f"m{i - 1}"))
-        more = held.select("rk", "text", *[f"m{j}" for j in range(i)]).mapInPandas(suffixes(i), kind)
-        marks.append(cut(repeated(more, group_rows).withColumnRenamed("marks", f"m{i}")))
-        met = met.join(marks[-1], "rk", "left")
-    names = [f"m{i}" for i in range(len(marks))]
-    rows = met.select("rk", "text", *names).mapInPandas(groups, "node bigint, rk bigint, lo int, before int, body binary")
+    # All readers of the texts by rk take all columns and are in one query, so that the texts are dealt out once.
+    met, names = docs.join(marks, "rk"), ["m0"]
+    over = not marks.where(large("m0")).isEmpty()
+    for i in range(1, len(prefixes)) if over else ():
+        more = met.where(large(names[-1])).select(*docs.columns, *names).mapInPandas(suffixes(i), kind)
+        met = met.join(repeated(more, group_rows).withColumnRenamed("marks", f"m{i}"), "rk", "left")
+        names.append(f"m{i}")
+    rows = met.select(*docs.columns, *names).mapInPandas(groups, "node bigint, rk bigint, lo int, before int, body binary")
     deep = rows.repartition("node").sortWithinPartitions("node").mapInPandas(trees, "rk bigint, a int, b int")
-    if left:
-        every = met.where(large(names[-1])).select("rk", "text", *names).mapInPandas(long, "rk bigint, a int, body binary")
-        twice = every.groupBy("body").agg(F.count("*").alias("n")).where("n > 1").select("body")
-        deep = deep.unionByName(with_totals(every, twice, "body").select("rk", "a", F.col("a").alias("b")))
+    if over:
+        every = met.where(large(names[-1])).select(*docs.columns, *names).mapInPandas(long, "rk bigint, a int, all binary")
+        twice = every.groupBy("all").agg(F.count("*").alias("n")).where("n > 1").select("all")
+        deep = deep.unionByName(with_totals(every, twice, "all").select("rk", "a", F.col("a").alias("b")))
     found = deep.select("rk", _range("a", "b").alias("r")).unionByName(same.select("rk", F.lit(WHOLE).cast("long").alias("r")))
     return docs.join(found.groupBy("rk").agg(F.sort_array(F.collect_set("r")).alias("ps")), "rk", "left")
 
