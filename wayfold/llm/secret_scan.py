@@ -30,15 +30,20 @@ NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|access[_-]?key|au
 
 #: Candidate forms (fixed values): name, pattern.
 FORMS = (
-    ("assigned", rf"(?:{NAMES})\w{{0,16}}[\"']?\s{{0,4}}(?:=>|:=|[:=])\s{{0,4}}[\"']?[^\s\"']{{6,}}"),
+    ("assigned", rf"(?:{NAMES})\w{{0,16}}[\"']?\s{{0,4}}(?:=>|:=|[:=])\s{{0,4}}[\"']?[^\s\"']{{6,}}+"),
     ("cloud_key", r"(?:AKIA|ASIA)[A-Z0-9]{16}"),
     ("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     ("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"),
+    ("web_token", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]*"),
     ("pem", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----[^-]*(?:-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----)?"),
-    ("long", r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{20,}"),
+    ("long", r"(?=[A-Za-z+/_-]*+[0-9])[A-Za-z0-9+/_-]{20,}+(?![\"']?(?:[:=][\"']?[A-Za-z0-9]|\s{1,4}[:=]|:\s))(?:={1,2})?"),
+)
+#: A name may stand inside an identifier, after a sign or digit or where a capital begins a part of it. No form can begin again inside what it
+#: has read through in vain, so that the scan is linear in the text.
+PATTERN = (
+    r"(?:(?<![A-Za-z])|(?<=[a-z])(?=[A-Z]))(?i:" + FORMS[0][1] + r")|(?<![A-Za-z0-9])(?:" + "|".join(p for _, p in FORMS[1:3]) + r"|" + FORMS[5][1]
+    + r")|(?<![A-Za-z0-9_-])(?:" + "|".join(p for _, p in FORMS[3:5]) + r")|(?<![A-Za-z0-9+/_-])" + FORMS[6][1]
 )
-PATTERN = r"(?i:(?<![A-Za-z0-9])" + FORMS[0][1] + r")|(?<![A-Za-z0-9])(?:" + "|".join(p for _, p in FORMS[1:]) + ")"
 
 #: Words that make up look-alikes and code, for dictionary coverage (fixed values).
 DICTIONARY = (
@@ -55,6 +60,10 @@ TEST_PATH = r"(?i)(^|[/_.-])(tests?|mocks?|fixtures?|examples?|samples?|docs?|re
 
 FEATURES = ("length", "transitions", "coverage", "distinct", "digits", "uppers", "hex", "dashes", "known", "assigned", "key_near", "lookalike_near", "lookalike_before", "test_path")
 TREES, DEPTH, SEED = 24, 6, 7
+#: Kinds of secrets among the bundled findings.
+SECRETS = 8
+#: Lengths are summed up in blocks of this many findings.
+BLOCK = 256
 #: The most labelled findings the forest is trained on, least hash first.
 MAX_LABELLED = 20_000
 #: Characters on either side that count as neighbouring words.
@@ -96,40 +105,50 @@ def features(before: Column, match: Column, after: Column, path: Column) -> list
 
 
 def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
-    """(before, match, after, path, label): `n` findings made by rule; even kinds of ten are secrets.
+    """(before, match, after, path, label): `n` findings made by rule, of SECRETS kinds of secrets and as many kinds of look-alikes.
 
     The words around are drawn without regard to the label but for the kinds that words tell apart."""
     def pick(values: str, salt: int) -> str:
         return f"element_at(split('{values}', '[|]'), cast(pmod(xxhash64(id, {salt}), {values.count('|') + 1}) as int) + 1)"
 
     def code(salt: int, length: str) -> str:
-        return f"left(translate(base64(unhex(concat(sha2(concat(id, '-{salt}'), 512), sha2(concat(id, '+{salt}'), 512)))), '+/=\\n\\r', 'xyz'), {length})"
+        return f"left(translate(base64(unhex(concat(sha2(concat(id, '-{salt}'), 512), sha2(concat(id, '+{salt}'), 512)))), '+/=\n\r', 'xyz'), {length})"
 
     hexes = "sha2(concat('h', id), 256)"
+    digits = "cast(abs(xxhash64(id, 40)) as string)"
     plain = pick("the|of and|en la|und der|et les|in this|value is|x =|se on|thing", 1)
     calm = pick("commit|checksum|sha256|revision|etag|digest of|md5 hash|uuid", 2)
     words = pick("changeme|your_password_here|example-password|placeholder|test1234|dummy_value|password123|sample_token_value|<insert-secret>|default_user_password", 3)
-    match = f"""case k
-        when 0 then concat('AKIA', upper({code(4, '16')}))
-        when 1 then concat('password', {pick('=|: |="', 5)}, left({hexes}, 12 + cast(pmod(id, 20) as int)))
-        when 2 then concat({pick('token|secret|api_key|access_key|auth_token|api-key', 6)}, {pick(' = "|=|: |="', 7)}, left({hexes}, 24 + cast(pmod(id, 40) as int)))
-        when 3 then concat({pick('ghp_|gho_|ghs_', 8)}, {code(9, '36')})
-        when 4 then concat({pick('secret|password|passwd|pwd|client_secret', 10)}, {pick('=|: |="', 11)}, {code(12, '10 + cast(pmod(id, 24) as int)')})
-        when 5 then left({hexes}, 32 + 8 * cast(pmod(id, 5) as int))
-        when 6 then concat({pick('password|token|secret|passwd|api_key', 13)}, {pick('=|: |="', 14)}, {words})
-        when 7 then concat_ws('-', left({hexes}, 8), substr({hexes}, 9, 4), substr({hexes}, 13, 4), substr({hexes}, 17, 4), substr({hexes}, 21, 12))
-        when 8 then concat('AKIA', upper({code(15, '9')}), 'EXAMPLE')
-        else concat({pick('internal|global|default|service|session', 16)}, '_', {pick('connection|authentication|environment|configuration', 17)}, '_', {pick('string|variable|settings|version', 18)}, '_', cast(pmod(id, 99) as string))
-        end"""
-    before = f"concat({pick('on the|ser|y la|for all|.|)', 19)}, ' ', case when k in (5, 7) then {calm} else {plain} end, ' ')"
+    some = pick("example|your-token-here|sample-token|placeholder-value|insert-token-here|dummy-token-value", 28)
+    kinds = [
+        f"concat('AKIA', upper({code(4, '16')}))",
+        f"concat('password', {pick('=|: |=\"', 5)}, left({hexes}, 12 + cast(pmod(id, 20) as int)))",
+        f"concat({pick('token|secret|api_key|access_key|auth_token|api-key|SECRET_KEY|Token', 6)}, {pick(' = \"|=|: |=\"', 7)}, left({hexes}, 24 + cast(pmod(id, 40) as int)))",
+        f"concat({pick('ghp_|gho_|ghs_', 8)}, {code(9, '36')})",
+        f"concat({pick('secret|password|passwd|pwd|client_secret|Password', 10)}, {pick('=|: |=\"', 11)}, {code(12, '10 + cast(pmod(id, 24) as int)')})",
+        f"concat({pick('xoxb|xoxp|xoxa|xoxs', 29)}, '-', left({digits}, 12), '-', {code(30, '8 + cast(pmod(id, 20) as int)')})",
+        f"concat('eyJ', {code(31, '20 + cast(pmod(id, 16) as int)')}, '.eyJ', {code(32, '30 + cast(pmod(id, 40) as int)')}, '.', {code(33, '43')})",
+        f"concat('-----BEGIN ', {pick('RSA |EC ||OPENSSH ', 34)}, 'PRIVATE KEY-----\n', {code(35, '64')}, '\n', {code(36, '64')}, '\n')",
+        f"left({hexes}, 32 + 8 * cast(pmod(id, 5) as int))",
+        f"concat({pick('password|token|secret|passwd|api_key|Password', 13)}, {pick('=|: |=\"', 14)}, {words})",
+        f"concat_ws('-', left({hexes}, 8), substr({hexes}, 9, 4), substr({hexes}, 13, 4), substr({hexes}, 17, 4), substr({hexes}, 21, 12))",
+        f"concat('AKIA', upper({code(15, '9')}), 'EXAMPLE')",
+        f"concat({pick('internal|global|default|service|session', 16)}, '_', {pick('connection|authentication|environment|configuration', 17)}, '_', {pick('string|variable|settings|version', 18)}, '_', cast(pmod(id, 99) as string))",
+        f"concat({pick('xoxb|xoxp|xoxa', 37)}, '-', {some})",
+        f"concat('eyJ', replace({some}, '-', ''), '.', replace({pick('payload-goes-here|examplepayload|your-payload', 38)}, '-', ''), '.', {pick('signature|example|xxxx', 39)})",
+        f"concat('-----BEGIN PRIVATE KEY-----\n', {pick('your private key here|<insert key>|example|placeholder text only', 41)}, '\n')",
+    ]
+    match = "case k " + " ".join(f"when {i} then {x}" for i, x in enumerate(kinds)) + " end"
+    inside = f"case when k in (1, 2, 4, 9) then {pick('|||DB_|STRIPE_|my_|APP-', 27)} else '' end"
+    before = f"concat({pick('on the|ser|y la|for all|.|)', 19)}, ' ', case when k in ({SECRETS}, {SECRETS + 2}) then {calm} else {plain} end, ' ', {inside})"
     # Words of look-alikes also stand near one secret in five, and words of secrets near one look-alike in five.
-    other = f"case when k < 5 then {pick('commit|checksum|sha256|example|digest|uuid', 25)} else {pick('token|password|login|secret|key', 26)} end"
+    other = f"case when k < {SECRETS} then {pick('commit|checksum|sha256|example|digest|uuid', 25)} else {pick('token|password|login|secret|key', 26)} end"
     after = f"concat(' ', {pick('and the|que|of it|der|.|next', 23)}, ' ', case when pmod(xxhash64(id, 24), 5) = 0 then {other} else '' end)"
-    path = f"""case when k in (6, 8) and pmod(xxhash64(id, 20), 3) > 0 then {pick('tests/fixtures/a.json|docs/readme.md|examples/run.py', 21)}
+    path = f"""case when k in (9, 11, 13) and pmod(xxhash64(id, 20), 3) > 0 then {pick('tests/fixtures/a.json|docs/readme.md|examples/run.py', 21)}
         else {pick('src0|src12|src/app.py|config/prod.yml|lib/main.js|deploy/env.sh', 22)} end"""
-    rows = spark.range(0, n, 1, 1).selectExpr("id", "cast(pmod(id, 10) as int) as k")
+    rows = spark.range(0, n, 1, 1).selectExpr("id", f"cast(pmod(id, {2 * SECRETS}) as int) as k")
     rows = rows.selectExpr("id", "k", f"{before} as before", f"{match} as match", f"{after} as after", f"{path} as path")
-    return rows.selectExpr("before", "match", "after", "path", "case when k < 5 then 1.0D else 0.0D end as label")
+    return rows.selectExpr("before", "match", "after", "path", f"case when k < {SECRETS} then 1.0D else 0.0D end as label")
 
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH, max_labelled: int = MAX_LABELLED) -> RandomForestClassificationModel:
@@ -159,9 +178,12 @@ def forest_score(model: RandomForestClassificationModel, value) -> Column:
     return reduce(lambda a, b: a + b, votes) / len(votes)
 
 
-def _found(docs: DataFrame, text: str, path: str, model) -> DataFrame:
-    """`docs` with _found: array of (match, at, known features, score), in order of position, and _parts around."""
-    at = docs.withColumn("_found", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0)))
+def _found(docs: DataFrame, text: str, path: str, model, only: bool = False) -> DataFrame:
+    """`docs` with _found: array of (match, score), in order of position, and _parts around; `only` those with a finding."""
+    found = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(PATTERN), F.lit(0))
+    # inline() of one struct: what follows, a filter too, does not scan the text again.
+    at = docs.select("*", F.inline(F.array(F.struct(found.alias("_found")))))
+    at = at.where(F.size("_found") > 0) if only else at
     # Only a text with candidates is split.
     at = at.withColumn("_parts", F.when(F.size("_found") > 0, F.split(F.col(text), PATTERN, -1)))
     source = F.col(path).cast("string")
@@ -177,14 +199,18 @@ def _found(docs: DataFrame, text: str, path: str, model) -> DataFrame:
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", path: str = "source", model=None, least: float = 0.5) -> DataFrame:
     """(key, position, form, secret, score, is_secret): a row for each candidate; position counts code points from 0."""
     model = model or train(labelled_findings(docs.sparkSession))
-    rows = _found(docs.select(F.col(key), F.col(text).alias("text"), F.col(path).alias("path")), "text", "path", model)
-    rows = rows.where(F.size("_found") > 0).select(key, "_found", F.transform("_parts", lambda x: F.length(x)).alias("_sizes"))
-    rows = rows.select(key, "_found", "_sizes", F.posexplode("_found").alias("i", "f"))
-    before = F.aggregate(F.slice("_sizes", F.lit(1), F.col("i") + 1), F.lit(0), lambda a, x: a + x)
-    matched = F.aggregate(F.slice("_found", F.lit(1), F.col("i")), F.lit(0), lambda a, x: a + F.length(x["match"]))
+    rows = _found(docs.select(F.col(key), F.col(text).alias("text"), F.col(path).alias("path")), "text", "path", model, only=True)
+    # Where each finding begins: sums of whole blocks before it, then of its block; only then are findings dealt out.
+    rows = rows.withColumn("_steps", F.expr("zip_with(slice(_parts, 1, size(_found)), _found, (a, b) -> cast(length(a) + length(b.match) as bigint))"))
+    rows = rows.withColumn("_sums", F.expr(f"transform(sequence(0, (size(_steps) - 1) div {BLOCK}), j -> aggregate(slice(_steps, cast(j * {BLOCK} + 1 as int), {BLOCK}), 0L, (a, x) -> a + x))"))
+    rows = rows.withColumn("_before", F.expr("transform(sequence(0, size(_sums) - 1), j -> aggregate(slice(_sums, 1, j), 0L, (a, x) -> a + x))"))
+    # inline() of one struct: sums are made once for a text, not again for each finding.
+    rows = rows.select(key, F.inline(F.array(F.struct("_found", F.transform("_parts", lambda x: F.length(x)).alias("_sizes"), "_steps", "_before"))))
+    at = (f"get(_before, i div {BLOCK}) + aggregate(slice(_steps, cast((i div {BLOCK}) * {BLOCK} + 1 as int), i % {BLOCK}), 0L, (a, x) -> a + x) + get(_sizes, i)")
+    rows = rows.select(key, F.explode(F.expr(f"transform(_found, (x, i) -> struct(x.match as match, x.score as score, {at} as at))")).alias("f"))
     value = value_of(F.col("f.match"))
     form = reduce(lambda rest, f: F.when(value.rlike(f"^(?:{f[1]})"), f[0]).otherwise(rest), reversed(FORMS[1:6]), F.when(F.length("f.match") > F.length(value), "assigned").otherwise("long"))
-    at = (before + matched + F.length("f.match") - F.length(value)).cast("long")
+    at = (F.col("f.at") + F.length("f.match") - F.length(value)).cast("long")
     return rows.select(key, at.alias("position"), form.alias("form"), value.alias("secret"), F.round("f.score", 6).alias("score"), (F.col("f.score") >= least).alias("is_secret"))
 
 
