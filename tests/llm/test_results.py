@@ -156,15 +156,40 @@ def test_op3_packing_is_whole_and_tight(few_docs):
     assert packed["size"].sum() / packed.groupby("bin")["capacity"].first().sum() > 0.95
 
 
-def test_op3_best_fit_takes_the_fullest_bin():
-    of, place, down = best_fit_packing.best_fit(np.array([6, 5, 4, 3, 1]), lengths=(8, 10))
-    used = Counter()
-    for b, s in zip(of, [6, 5, 4, 3, 1], strict=True):
-        used[b] += s
-    assert all(used[b] <= down[b] for b in used) and sum(used.values()) == 19 and sum(down) <= 20
+def test_op3_best_fit_against_plain_search():
+    """Largest first: the open bin with the least room that holds the piece; else a new bin of the length that is cheapest for a word it may hold."""
+    draw = random.Random(3)
+    for lengths in ((8, 10), (4, 8, 16), (512, 1024, 2048, 4096)):
+        sizes = np.array([draw.randrange(1, max(lengths) + 1) for _ in range(300)])
+        rooms, length, held, left = [], [], [], int(sizes.sum())
+        for size in sorted(sizes.tolist(), reverse=True):
+            open_bins = [b for b in range(len(rooms)) if rooms[b] >= size]
+            if open_bins:
+                b = min(open_bins, key=lambda b: rooms[b])
+            else:
+                fit = [x for x in lengths if x >= size]
+                length.append(min(fit, key=lambda x: (64 + x + x * x / 8192) / min(x, left)))
+                rooms.append(length[-1])
+                held.append([])
+                b = len(rooms) - 1
+            rooms[b] -= size
+            held[b].append(size)
+            left -= size
+        of, place, down = best_fit_packing.best_fit(sizes, lengths)
+        got = defaultdict(list)
+        for b, x in zip(of.tolist(), sizes.tolist(), strict=True):
+            got[b].append(x)
+        assert sorted(sum(x) for x in got.values()) == sorted(sum(x) for x in held)
+        assert all(down[b] == min(x for x in lengths if x >= sum(got[b])) for b in got)
     assert best_fit_packing.best_fit(np.array([], int))[2].size == 0
 
 
+def test_op3_ties_do_not_depend_on_arrival(spark):
+    docs = spark.createDataFrame([(i, "w " * (i % 5 + 1)) for i in range(200)], "doc_id long, text string")
+    a, b = ({tuple(r) for r in best_fit_packing.pack(d, lengths=(8, 16)).collect()} for d in (docs.coalesce(1), docs.orderBy(F.desc("doc_id")).coalesce(1)))
+    assert a == b
+
+
 def test_op4_against_plain_walk(few_docs):
     rows = sorted(few_docs.collect(), key=lambda r: r.doc_id)
     out = {r.doc_id: r for r in edit_fingerprint.fingerprints(few_docs, range_rows=16).collect()}
@@ -442,6 +467,23 @@ def test_op8_pairs_behind_a_template(spark):
     assert all(whole[a] == whole[b] for a in got for b in got if got[a] == got[b])
 
 
+def test_pipeline_runs_its_stages_one_after_the_other(spark):
+    """run() is its stages by hand, each on all that the one before kept."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    sizes = {r.doc_id: (r.text, r.source) for r in docs.collect()}
+    good = quality_rules.judge(docs).where("kept")
+    kept = simhash_dedup.keep_one(good.select(*docs.columns))
+    clean = corpus_pipeline.secrets(spark, kept, SF)
+    expect = Counter(r.doc_id for r in source_mix.mix(clean).select("doc_id").collect())
+    got = corpus_pipeline.run(spark, SF).toPandas()
+    assert Counter(got[got["piece"] == 0]["doc_id"]) == expect and set(expect) <= set(sizes)
+    for _, bin in got.groupby("bin"):
+        assert bin["size"].sum() <= bin["capacity"].iat[0]
+    assert "<SECRET>" in " ".join(r.text for r in clean.collect()) or not any("token = \"" in (t or "") for t, _ in sizes.values())
+
+
 def test_op9_links_threads_and_cleans(spark):
     rows = [
         (1, 0, "user", "Hello there\nhow are you?"), (1, 1, "assistant", "> how are you?\nFine.  Thanks\n"),

@@ -9,7 +9,8 @@ attention). In the end each bin is cut down to the least permitted length that h
 holds a few numbers for each piece, never texts; one group leaves about one bin badly filled.
 
 Defined results: a null or blank text, of 0 words, takes no place and gives no piece; texts over the largest
-length are cut into several pieces, none is lost; repeated rows are packed each; ids may be null or repeat;
+length are cut into several pieces, none is lost; pieces of one size go by key and piece, and of the bins that a piece fills
+equally well the last one to get there takes it; repeated rows are packed each; ids may be null or repeat;
 an empty table gives no rows; other columns of the input are not read."""
 
 from __future__ import annotations
@@ -102,6 +103,8 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", lengths: Sequ
 
         part = TaskContext.get().partitionId()
         for n, rows in enumerate(_gathered(batches, 2 * group_rows)):
+            # Pieces of one size are packed in the order of key and piece, not of arrival.
+            rows = rows.sort_values(["size", key, "piece"], ascending=[False, True, True], kind="stable", ignore_index=True)
             of, place, down = best_fit(rows["size"].to_numpy(np.int64), lengths, fixed, quadratic)
             yield rows.assign(bin=[f"{part}-{n}-{b}" for b in of], offset=place, capacity=down[of])
 

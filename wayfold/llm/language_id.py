@@ -7,8 +7,8 @@ language. A text enters only through which landmark n-grams it has, so landmarks
 matrix of n-grams by languages; a batch of texts is scored by one product of its presence matrix with it.
 
 Training rows: least hash of the id first, per language at a rate known from counts of the whole table, so
-the sample is the same in every run and no larger on a larger table. Whole texts are read in training and in
-prediction; language, source and id are no inputs of a prediction.
+the sample is the same in every run and no larger on a larger table; texts over MAX_TRAIN_CHARS characters are not in
+it. Whole texts are read in training and in prediction; language, source and id are no inputs of a prediction.
 
 Defined results: null texts and texts without a letter get `und` and score 0, and are not trained on; rows
 without a language are not trained on; with no training row at all every text gets `und`; repeated rows get
@@ -28,6 +28,8 @@ MAX_GRAM = 4
 LANDMARKS = 240
 #: The most training texts, of all languages together.
 MAX_TRAIN = 2400
+#: The most characters of a text that is trained on; longer ones are predicted only. Bounds what the driver holds in bytes.
+MAX_TRAIN_CHARS = 20_000
 RIDGE = 1e-3
 UNKNOWN = "und"
 _TABLE_BITS = 20
@@ -66,20 +68,20 @@ class Kernel:
         chosen = sets[:landmarks]
         self.vocabulary = np.unique(np.concatenate(chosen)) if chosen else np.zeros(0, np.uint64)
         self._index()
-        has = np.zeros((len(chosen), len(self.vocabulary)), np.float32)
-        for i, s in enumerate(chosen):
-            has[i, np.searchsorted(self.vocabulary, s)] = 1
-        has /= np.sqrt(np.maximum(has.sum(axis=1, keepdims=True), 1))
-        # Kernel of every training text with every landmark, in blocks.
-        parts = []
-        for i in range(0, len(sets), 256):
-            block = np.zeros((len(sets[i : i + 256]), len(self.vocabulary)), np.float32)
-            for j, s in enumerate(sets[i : i + 256]):
-                at = np.searchsorted(self.vocabulary, s)
-                at = at[(at < len(self.vocabulary)) & (self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == s)]
-                block[j, at] = 1 / np.sqrt(max(len(s), 1))
-            parts.append(block @ has.T)
-        k = np.concatenate(parts).astype(np.float64)
+        # The landmarks that have an n-gram, n-gram after n-gram: as many entries as the landmarks have n-grams, not a full matrix.
+        of = np.repeat(np.arange(len(chosen)), [len(s) for s in chosen])
+        gram = np.searchsorted(self.vocabulary, np.concatenate(chosen)) if chosen else np.zeros(0, np.int64)
+        order = np.argsort(gram, kind="stable")
+        holder, first = of[order], np.searchsorted(gram[order], np.arange(len(self.vocabulary) + 1))
+        root_size = np.sqrt([max(len(s), 1) for s in chosen])
+        # Kernel of every training text with every landmark.
+        k = np.zeros((len(sets), len(chosen)))
+        for i, s in enumerate(sets):
+            at = np.searchsorted(self.vocabulary, s)
+            at = at[(at < len(self.vocabulary)) & (self.vocabulary[np.minimum(at, len(self.vocabulary) - 1)] == s)] if len(self.vocabulary) else at[:0]
+            n = first[at + 1] - first[at]
+            every = holder[np.repeat(first[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            k[i] = np.bincount(every, minlength=len(chosen)) / (root_size * np.sqrt(max(len(s), 1)))
         values, vectors = np.linalg.eigh(k[: len(chosen)] @ np.eye(len(chosen)))
         good = values > 1e-6 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
@@ -88,7 +90,10 @@ class Kernel:
         # Each language weighs the same, whatever its share of the sample.
         weight = (1 / pd.Series(langs).map(pd.Series(langs).value_counts()).to_numpy(float))[:, None]
         beta = np.linalg.solve(phi.T @ (phi * weight) + ridge * np.eye(phi.shape[1]), phi.T @ (y * weight))
-        self.matrix = (has.T @ (root @ beta[:-1])).astype(np.float32)
+        share = (root @ beta[:-1]) / root_size[:, None]
+        self.matrix = np.zeros((len(self.vocabulary), len(self.languages)), np.float32)
+        for i, s in enumerate(chosen):
+            self.matrix[np.searchsorted(self.vocabulary, s)] += share[i].astype(np.float32)
         self.bias = beta[-1].astype(np.float32)
 
     def _index(self) -> None:
@@ -133,7 +138,7 @@ def training_rows(docs: DataFrame, key: str, text: str, lang: str, most: int = M
     """At most `most` rows (text, lang) that are not held out, about as many of each language, shuffled by hash.
 
     The draw looks at the id's hash only; a text is taken whole."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & ~F.coalesce(held_out(key), F.lit(False)))
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(r"\p{L}") & (F.length(text) <= MAX_TRAIN_CHARS) & ~F.coalesce(held_out(key), F.lit(False)))
     counts = rows.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(most).collect()
     if not counts:
         return []

@@ -15,6 +15,8 @@ classes() links fingerprints at few differing bits. keep_one(), which removes ne
 also links texts with 0.8 or more of their five-word shingles in common, which mostly differ in more bits
 (simhash_similar has how they are found).
 
+keep_one() tells rows apart by 128 bits of hash over id and text, and texts by 128 bits over their words.
+
 Defined results: a null or blank text has fingerprint 0 and is linked like any other; repeated rows share
 a class; null ids take part and never name a class unless all its ids are null; an empty table gives no
 rows; other columns of the input are not read."""
@@ -138,7 +140,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits:
 
 
 def similar_marks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, row_key, fp, node, wide, keys) of every row: node is one for texts of equal lower-cased words."""
+    """(key, row_key, row_key2, fp, node, words, wide, keys) of every row: node is one for texts of equal lower-cased words, words a 128-bit hash of these."""
     tables = similar.tables_for(docs.count())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -148,20 +150,21 @@ def similar_marks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 texts = [x or b"" for x in part["_text"]]
                 words = [x.lower().split() for x in texts]
                 vectors = np.stack([similar.sums(similar.shingles(w)) for w in words])
-                node = np.array([xxhash.xxh64_intdigest(b" ".join(w)) for w in words], np.uint64).view(np.int64)
+                joined = [b" ".join(w) for w in words]
+                node = np.array([xxhash.xxh64_intdigest(x) for x in joined], np.uint64).view(np.int64)
                 fp = np.array([simhash(x) for x in texts], np.uint64).view(np.int64)
-                yield part.drop(columns="_text").assign(fp=fp, node=node, wide=list(similar.bits(vectors)), keys=list(similar.keys_of(vectors, tables)))
+                yield part.drop(columns="_text").assign(fp=fp, node=node, words=[xxhash.xxh3_128_digest(x) for x in joined], wide=list(similar.bits(vectors)), keys=list(similar.keys_of(vectors, tables)))
 
-    rows = docs.select(F.col(key), row_key(key, text).alias("row_key"), F.col(text).cast("binary").alias("_text"))
+    rows = docs.select(F.col(key), row_key(key, text).alias("row_key"), F.xxhash64(F.lit(2), F.col(key), F.col(text)).alias("row_key2"), F.col(text).cast("binary").alias("_text"))
     kind = dict(docs.dtypes)[key]
-    return rows.mapInPandas(run, f"`{key}` {kind}, row_key bigint, fp bigint, node bigint, wide array<bigint>, keys array<bigint>")
+    return rows.mapInPandas(run, f"`{key}` {kind}, row_key bigint, row_key2 bigint, fp bigint, node bigint, words binary, wide array<bigint>, keys array<bigint>")
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, least: float = similar.LEAST) -> DataFrame:
-    """(key, row_key, component) of every row. Two texts are linked if their fingerprints differ in `max_bits`
+    """(key, row_key, row_key2, component, other) of every row; other is null but for the second of two texts with one hash. Two texts are linked if their fingerprints differ in `max_bits`
     bits or fewer, as in classes(), or if they have `least` or more of their five-word shingles in common."""
     marked = cut(similar_marks(docs, key, text))
-    distinct = cut(marked.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(F.struct("fp", "wide", "keys")).alias("m")).select("node", "row_key", "m.*"))
+    distinct = cut(marked.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(F.struct("words", "fp", "wide", "keys")).alias("m")).select("node", "row_key", "m.*"))
     rows = docs.select(row_key(key, text).alias("row_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def texts(pairs: DataFrame) -> DataFrame:
@@ -179,16 +182,21 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
     bits = bits.join(heads.select(F.col("fp").alias("a"), F.col("head").alias("x")), "a").join(heads.select(F.col("fp").alias("b"), F.col("head").alias("y")), "b")
     nodes = connected_components(alike.unionByName(same).unionByName(bits.select(F.col("x").alias("a"), F.col("y").alias("b"))))
     named = nodes.select(F.col("node").alias("_n"), "component")
-    return marked.join(named, F.col("node") == F.col("_n"), "left").select(key, "row_key", F.coalesce("component", "node").alias("component"))
+    marked = marked.join(named, F.col("node") == F.col("_n"), "left")
+    # Should two texts have one node, the one that does not stand for it has a class of its own: it is not taken for a copy.
+    chief = distinct.select(F.col("node").alias("_c"), F.col("words").alias("_w"))
+    marked = marked.join(chief, F.col("node") == F.col("_c"))
+    own = F.when(F.col("words") == F.col("_w"), F.lit(None).cast("binary")).otherwise(F.col("words"))
+    return marked.select(key, "row_key", "row_key2", F.coalesce("component", "node").alias("component"), own.alias("other"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, least: float = similar.LEAST) -> DataFrame:
     """`docs` with one row of each of similar_classes(): the one of the smallest id (null last), then of the smallest row_key."""
-    first = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("row_key").alias("r"))
+    first = F.struct(F.col(key).isNull().alias("n"), F.col(key).alias("k"), F.col("row_key").alias("r"), F.col("row_key2").alias("r2"))
     marked = similar_classes(docs, key, text, max_bits, least)
-    kept = marked.groupBy("component").agg(F.min(first).alias("m")).select(F.col("m.r").alias("_row_key"))
-    rows = docs.withColumn("_row_key", row_key(key, text)).join(kept, "_row_key", "left_semi")
-    return rows.dropDuplicates(["_row_key"]).drop("_row_key")
+    kept = marked.groupBy("component", "other").agg(F.min(first).alias("m")).select("m.r", "m.r2")
+    rows = docs.select(F.struct("*").alias("row"), row_key(key, text).alias("r"), F.xxhash64(F.lit(2), F.col(key), F.col(text)).alias("r2"))
+    return rows.join(kept, ["r", "r2"], "left_semi").dropDuplicates(["r", "r2"]).select("row.*")
 
 
 def hex_fingerprint(fp: str = "fp"):

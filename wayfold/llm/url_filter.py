@@ -11,8 +11,8 @@ given as a DataFrame (block lists of any size) are joined on the URL's host suff
 
 Defined results: a null URL, or one without ://, has an empty host and path, fits no rule that needs a host
 and is allowed; an empty path fits no rule with a path; repeated rows are judged each; rules of one length:
-allow wins; pages without links form no component; an empty table gives no rows; other columns stay, clashing
-names are replaced by the results."""
+allow wins; pages without links form no component; an empty table gives no rows; other columns of the
+input are not read (keep_allowed() keeps them)."""
 
 from __future__ import annotations
 
