@@ -158,3 +158,17 @@ def test_layer_tars(spark, tmp_path):
     assert out == {(0, "/a"): (None, "dir", None), (0, "/a/f"): (None, "file", 2), (0, "/l"): (None, "symlink", 3), (0, "/h"): (None, "file", 2), (1, "/a/f"): ("whiteout", None, None), (1, "/b"): ("opaque", None, None)}
     with pytest.raises(ValueError):
         layers.member_path("../x")
+
+
+@pytest.mark.parametrize("sql", [
+    "select '--', reflect('java.lang.Math', 'abs', -1)", "select '/*', reflect('java.lang.Math', 'abs', -1), '*/'", "select `reflect`('a', 'b')", "select 1 where exists (select java_method('a', 'b'))",
+    "with a as (select 1) insert into t select * from a", "select * from parquet.`/etc/passwd`", "select (select max(value) from `text`.`/etc/passwd`)", "select transform(a) using 'cat' from t",
+    "select identifier('reflect')('a', 'b')", "select count(*) over (order by reflect('a', 'b')) from range(3)", "select 1; select 2", "create table t as select 1"])
+def test_guard_reads_the_parsed_query(spark, sql):
+    with pytest.raises(guard.Refused):
+        guard.check(spark, sql)
+
+
+@pytest.mark.parametrize("sql", ["select 'reflect(1)', '-- x', \"parquet.`a`\"", "-- reflect(x)\nselect 1", "with a as (select 1 as x) select sum(x) from a", "select reflect from (select 1 as reflect)"])
+def test_guard_lets_literals_and_columns_be(spark, sql):
+    guard.check(spark, sql)

@@ -63,7 +63,7 @@ def test_step_flags(spark):
     t = (Rows().trial().call(1).change(1, "/a.py").call(2, output="Exit code 2").call(3, took=121).call(4, took=500).change(4, "/x/__pycache__/a.pyc")
          .call(5, command="FOO=1 timeout 5 python -m pytest -q").call(6, command="pip install pytest").call(7, tool="Stop", command="").message(8, "done").call(9, tool=None, command="")).tables(spark)
     t["steps"] = t["steps"].replace(9, 10, "step_idx")
-    out = {r.step_idx: r for r in views.step_flags(t).collect()}
+    out = {r.step_idx: r for r in sorted(views.step_flags(t).collect(), key=lambda r: r.step_idx)}
     assert [i for i, r in out.items() if r.is_tool_call] == [1, 2, 3, 4, 5, 6]
     assert [i for i, r in out.items() if r.is_mutating] == [1] and out[4].files_touched == 1
     assert [i for i, r in out.items() if r.has_error_marker] == [2]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import threading
 import time
@@ -14,6 +15,10 @@ from pyspark.sql import functions as F
 ROW_CAP, TIMEOUT_S = 200, 10.0
 #: Functions that run code or read the machine (fixed values), lower case.
 DENIED = ("reflect", "java_method", "try_reflect", "input_file_name", "raise_error", "assert_true", "sleep", "read_files")
+#: Formats that name a file where a table stands (fixed values), lower case.
+FILES = ("parquet", "json", "csv", "text", "orc", "avro", "binaryfile", "xml", "delta")
+#: Nodes of statements that are no queries, or that run a program.
+_OTHER = re.compile(r"Command|Insert|Create|Replace(?:Table|Columns)|Drop|Alter|Merge|Update|Delete|Truncate|ScriptTransformation")
 _LEAD = re.compile(r"(?:\s+|--[^\n]*(?:\n|$)|/\*.*?\*/)*", re.DOTALL)
 
 
@@ -27,25 +32,30 @@ def check(spark: SparkSession, sql: str) -> None:
     if not re.match(r"(?:select|with)\b", text, re.IGNORECASE):
         raise Refused("only a SELECT or WITH query")
     try:
-        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.rstrip().rstrip(";"))
+        nodes = list(_nodes(json.loads(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.rstrip().rstrip(";")).toJSON())))
     except Exception as error:
         raise Refused(f"not valid SQL: {str(error).strip().splitlines()[0][:200]}") from error
-    tree = plan.treeString()
-    if re.search(r"Command|InsertInto|CreateTable|CreateView|UnresolvedHaving\b.*Command", tree) and not re.search(r"^'?(Project|Aggregate|UnresolvedWith|With|Sort|GlobalLimit|LocalLimit|Filter|Distinct|Union|SubqueryAlias|UnresolvedHaving|Except|Intersect|Offset|Join|GroupingSets)", tree):
-        raise Refused("only a SELECT or WITH query")
-    names = {x.lower().strip("`") for x in re.findall(r"`?([A-Za-z_][\w]*)`?\s*\(", _bare(text))}
-    denied = sorted(names & set(DENIED))
-    if denied:
-        raise Refused(f"function {denied[0]} is not available")
-    if re.search(r"\b(?:parquet|json|csv|text|orc|avro|binaryfile|delta)\s*\.\s*`", _bare(text, keep_ticks=True), re.IGNORECASE):
-        raise Refused("files are not available")
-
-
-def _bare(sql: str, keep_ticks: bool = False) -> str:
-    """`sql` without comments and string literals."""
-    sql = re.sub(r"--[^\n]*|/\*.*?\*/", " ", sql, flags=re.DOTALL)
-    sql = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"", "''", sql)
-    return sql
+    for kind, name in nodes:
+        if _OTHER.search(kind):
+            raise Refused("only a SELECT or WITH query")
+        if "Identifier" in kind:
+            raise Refused("names that are computed are not available")
+        if "Function" in kind and name and name[-1].lower() in DENIED:
+            raise Refused(f"function {name[-1].lower()} is not available")
+        if "Relation" in kind and len(name) > 1 and name[0].lower() in FILES:
+            raise Refused("files are not available")
+
+
+def _nodes(tree):
+    """(class, name parts) of every node of a parsed plan and of its expressions, subqueries included."""
+    if isinstance(tree, dict):
+        if "class" in tree:
+            name = tree.get("nameParts") or tree.get("multipartIdentifier") or tree.get("name") or ""
+            yield tree["class"].rsplit(".", 1)[-1], [x.strip() for x in name.strip("[]").split(",")] if isinstance(name, str) else []
+        tree = list(tree.values())
+    if isinstance(tree, list):
+        for x in tree:
+            yield from _nodes(x)
 
 
 @dataclass(frozen=True)

@@ -270,9 +270,9 @@ def fisher(spark, d):
     return rows.select("g", "p", F.round(stats.holm("p", []), 9).alias("adjusted"))
 
 
-@query("stat_holm", "with p as (select p_partkey % 50 as g, p_partkey % 3 as f, least(1.0, p_size / 50.0 * (p_partkey % 50 + 1) / 50.0) as p from part where p_partkey <= 100), r as (select *, (count(*) over (partition by f) - row_number() over (partition by f order by p, g) + 1) * p as x from p) select f, round(max(a), 9) as worst, round(sum(a), 6) as total from (select f, least(1.0, max(x) over (partition by f order by p, g rows unbounded preceding)) as a from r) group by 1")
+@query("stat_holm", "with p as (select p_partkey % 50 as g, p_partkey % 3 as f, least(1.0, p_size / 50.0 * (p_partkey % 50 + 1) / 50.0) as p from part), r as (select *, (count(*) over (partition by f) - row_number() over (partition by f order by p, g) + 1) * p as x from p) select f, round(max(a), 9) as worst, round(sum(a), 6) as total from (select f, least(1.0, max(x) over (partition by f order by p, g rows unbounded preceding)) as a from r) group by 1")
 def holm(spark, d):
-    p = read(spark, d, "part").where("p_partkey <= 100").select((F.col("p_partkey") % 3).alias("f"), F.least(F.lit(1.0), F.col("p_size") / 50.0 * (F.col("p_partkey") % 50 + 1) / 50.0).alias("p"))
+    p = read(spark, d, "part").select((F.col("p_partkey") % 3).alias("f"), F.least(F.lit(1.0), F.col("p_size") / 50.0 * (F.col("p_partkey") % 50 + 1) / 50.0).alias("p"))
     return p.withColumn("a", stats.holm("p", ["f"])).groupBy("f").agg(F.round(F.max("a"), 9).alias("worst"), F.round(F.sum("a"), 6).alias("total"))
 
 
@@ -373,10 +373,10 @@ def funnel(spark, d):
 
 
 # Timelines: line numbers of an order's customer as checks, orders as points.
-_LINE = "tl as (select l_suppkey as trial, l_linenumber as chk, row_number() over (partition by l_suppkey, l_linenumber order by l_shipdate, l_orderkey, l_partkey) - 1 as idx, case when l_discount = 0.1 then 'flaky' when l_returnflag = 'A' then 'failed' else 'passed' end as status from lineitem where l_quantity < 8)"
+_LINE = "tl as (select l_suppkey as trial, l_linenumber as chk, row_number() over (partition by l_suppkey, l_linenumber order by l_shipdate, l_orderkey, l_partkey) - 1 as idx, case when l_discount = 0.1 then 'flaky' when l_returnflag = 'A' then 'failed' else 'passed' end as status from lineitem)"
 
 
-def _timeline(spark, d, rows: str = "l_quantity < 8") -> DataFrame:
+def _timeline(spark, d, rows: str = "true") -> DataFrame:
     w = Window.partitionBy("l_suppkey", "l_linenumber").orderBy("l_shipdate", "l_orderkey", "l_partkey")
     status = F.when(F.col("l_discount") == 0.1, "flaky").when(F.col("l_returnflag") == "A", "failed").otherwise("passed")
     return read(spark, d, "lineitem").where(rows).select(F.col("l_suppkey").alias("trial"), F.col("l_linenumber").alias("check"), (F.row_number().over(w) - 1).alias("index"), status.alias("status"))
@@ -395,10 +395,10 @@ def status_marks(spark, d):
     return timeline.status_marks(_timeline(spark, d), ["trial"])
 
 
-_SAMPLE = "sm as (select l_suppkey as trial, l_orderkey % 7 as state, l_orderkey as sample, l_linenumber as chk, min(l_returnflag) as status from lineitem where l_quantity < 6 group by all)"
+_SAMPLE = "sm as (select l_suppkey as trial, l_orderkey % 7 as state, l_orderkey as sample, l_linenumber as chk, min(l_returnflag) as status from lineitem group by all)"
 
 
-def _samples(spark, d, rows: str = "l_quantity < 6") -> DataFrame:
+def _samples(spark, d, rows: str = "true") -> DataFrame:
     rows = read(spark, d, "lineitem").where(rows)
     return rows.groupBy(F.col("l_suppkey").alias("trial"), (F.col("l_orderkey") % 7).alias("state"), F.col("l_orderkey").alias("sample"), F.col("l_linenumber").alias("check")).agg(F.min("l_returnflag").alias("status"))
 
@@ -414,17 +414,6 @@ def plan_replays(spark, d):
     return timeline.missing_replays(s.select("trial", "state").distinct(), s, ["trial"])
 
 
-# The same over all of lineitem.
-def _whole(name: str, build) -> None:
-    register(f"{name}_whole", build, ORACLE[name].replace(" where l_quantity < 8)", ")").replace(" where l_quantity < 6 group", " group"))
-
-
-def _all_replays(spark, d):
-    s = _samples(spark, d, "true")
-    return timeline.missing_replays(s.select("trial", "state").distinct(), s, ["trial"])
-
-
-_whole("check_classify", lambda spark, d: timeline.classify(_timeline(spark, d, "true"), ["trial", "check"]))
-_whole("status_marks", lambda spark, d: timeline.status_marks(_timeline(spark, d, "true"), ["trial"]))
-_whole("stat_quorum_verdict", lambda spark, d: timeline.verdicts(_samples(spark, d, "true"), ["trial"]))
-_whole("plan_replays", _all_replays)
+# Names under which these were first registered over all of lineitem.
+for _name in ("check_classify", "status_marks", "stat_quorum_verdict", "plan_replays"):
+    register(f"{_name}_whole", QUERIES[_name], ORACLE[_name])
