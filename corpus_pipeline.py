@@ -1,7 +1,12 @@
 """A corpus pipeline of five operators: quality rules, near-dedup, secret redaction, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept, and returns a DataFrame that
-is written as Parquet and read again as the next one's docs. All but the last return the columns of documents."""
+is written as Parquet and read again as the next one's docs. All but the last return the columns of documents.
+
+Defined results, in every stage: a null text is an empty one, has no words and goes in the first stage; null ids, sources and
+other columns stay as they are; of rows that are equal in id and text near-dedup keeps one; ties are settled by id, then by a hash of
+the row; columns beside those of documents come through whatever their names, in all stages but the last; an empty table gives
+no rows."""
 
 from __future__ import annotations
 
@@ -11,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayfold.llm import best_fit_packing, quality_rules, secret_scan, simhash_dedup, source_mix
+from wayfold.llm.common import checkpoint_dir
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +36,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it, from not at all to twice."""
+    """Each document as often as the mix of sources takes it, from not at all to twice, in the order of the schedule."""
     return source_mix.mix(docs)
 
 
@@ -44,8 +50,7 @@ STAGES = [("quality_rules", quality), ("simhash_dedup", near_dedup), ("secret_sc
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """STAGES over documents; what a stage returns is kept in the checkpoint folder that all executors share."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    at = f"{top}/pipeline-{uuid.uuid4().hex}"
+    at = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")

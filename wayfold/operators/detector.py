@@ -16,7 +16,7 @@ from wayfold.plans.views import Tables, is_call, prompt_paths, step_flags
 KILLED = (143, 144)
 #: Lines that show a crash (fixed values).
 CRASH = (
-    r"(?dm)^(?:[A-Za-z_][\w.]*(?:Error|Exception)|KeyboardInterrupt)\b(?!.*BrokenPipe).*|^\S+:\d+(?::\d+)?: (?:fatal )?error: .*"
+    r"(?dm)^(?!.*BrokenPipe)(?:[A-Za-z_][\w.]*(?:Error|Exception)|KeyboardInterrupt)\b.*|^\S+:\d+(?::\d+)?: (?:fatal )?error: .*"
     r"|^.*Segmentation fault.*|^npm ERR! .*|^make(?:\[\d+\])?: \*\*\* .*"
 )
 KILL_BY_PATTERN = r"\b(?:pkill|pgrep)\s+(?:-[A-Za-z0-9]+\s+)*-\w*f\w*\s+(?:-[A-Za-z0-9]+\s+)*(?:\"([^\"]+)\"|'([^']+)'|([^\s;|&)]+))"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wayfold.operators.lineage import checkpointed
+
 #: Samples of a state that must agree before its verdict counts.
 QUORUM = 3
 
@@ -111,10 +113,7 @@ def check_components(needs: DataFrame, by: list[str]) -> DataFrame:
     """(by, check, component): checks that share a hunk they need (by, check, hunk), directly or through others, have one
     component, named by its least check. Labels go over hunks and back until none changes; only a flag reaches the driver."""
     edges = needs.select(*by, "check", "hunk").where("check is not null and hunk is not null").distinct()
-    context = edges.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    edges = edges.checkpoint()
+    edges = checkpointed(edges)
     labels = edges.select(*by, "check", F.col("check").alias("component")).distinct()
     while True:
         per_hunk = edges.join(labels, [*by, "check"]).groupBy(*by, "hunk").agg(F.min("component").alias("component"))

@@ -11,10 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wayfold.operators.lineage import shared_folder
+
 
 def first_per_key(rows: DataFrame, key: list[str], at: str, horizon: str) -> DataFrame:
-    """The first row of each key; repeats within the horizon are retries."""
-    return rows.withWatermark(at, horizon).dropDuplicatesWithinWatermark(key) if rows.isStreaming else rows.dropDuplicates(key)
+    """The first row of each key; repeats within the horizon are retries. In a stream the first to arrive, in a batch the first by `at`."""
+    if rows.isStreaming:
+        return rows.withWatermark(at, horizon).dropDuplicatesWithinWatermark(key)
+    first = rows.groupBy(*key).agg(F.min_by(F.struct("*"), F.struct(at, F.xxhash64("*"))).alias("_first"))
+    return first.select("_first.*")
 
 
 def at_most_once_a(rows: DataFrame, key: list[str], at: str, window: str = "1 second", horizon: str = "10 seconds") -> DataFrame:
@@ -99,8 +104,7 @@ def answer_each(requests: DataFrame, answer, out: str, checkpoint: str):
 
 def drained(spark: SparkSession, stream: DataFrame, mode: str = "append") -> DataFrame:
     """All that a stream gives for the input there is now, as a DataFrame, by way of the shared checkpoint folder."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    at = f"{top}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = stream.schema
     if mode == "append":
         stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/rows").awaitTermination()
