@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wayfold.operators.lineage import checkpointed
+from wayfold.operators.lineage import shared_folder as checkpoint_dir  # noqa: F401  (the pipeline writes there)
+
 #: A word: a run of anything but the six ASCII blanks. Fixed by the result contracts.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,25 +17,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder all executors share, and go on from there.
-
-    The folder is the session's spark.checkpoint.dir (checkpoint_dir)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir. Where it is not set, a local session gets a new
-    folder of its own; a cluster has no folder that is known to be shared, so the job stops."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="spark-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
+    """Write `df` to the checkpoint folder all executors share, and go on from there."""
+    return checkpointed(df)
 
 
 def n_words(text: Column | str) -> Column:
