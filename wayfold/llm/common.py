@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +23,13 @@ def cut(df: DataFrame) -> DataFrame:
     return checkpointed(df)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As cut(), through Parquet: for loops, as what a plan knows of its columns grows with each checkpoint, and planning with it."""
+    at = f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def n_words(text: Column | str) -> Column:
     """Words of a text as a long; null counts 0."""
     text = F.col(text) if isinstance(text, str) else text

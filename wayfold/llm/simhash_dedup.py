@@ -140,7 +140,7 @@ def classes(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits:
 
 
 def similar_marks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, row_key, row_key2, fp, node, words, wide, keys) of every row: node is one for texts of equal lower-cased words, words a 128-bit hash of these."""
+    """(key, row_key, row_key2, fp, node, words, wide, keys, levels, shingles) of every row: node is one for texts of equal lower-cased words, words a 128-bit hash of these."""
     tables = similar.tables_for(docs.count())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,22 +149,24 @@ def similar_marks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
                 part = batch[i : i + 128]
                 texts = [x or b"" for x in part["_text"]]
                 words = [x.lower().split() for x in texts]
-                vectors = np.stack([similar.sums(similar.shingles(w)) for w in words])
+                sets = [similar.shingles(w) for w in words]
+                vectors = np.stack([similar.sums(s) for s in sets])
                 joined = [b" ".join(w) for w in words]
                 node = np.array([xxhash.xxh64_intdigest(x) for x in joined], np.uint64).view(np.int64)
                 fp = np.array([simhash(x) for x in texts], np.uint64).view(np.int64)
-                yield part.drop(columns="_text").assign(fp=fp, node=node, words=[xxhash.xxh3_128_digest(x) for x in joined], wide=list(similar.bits(vectors)), keys=list(similar.keys_of(vectors, tables)))
+                yield part.drop(columns="_text").assign(fp=fp, node=node, words=[xxhash.xxh3_128_digest(x) for x in joined], wide=list(similar.bits(vectors)), keys=list(similar.keys_of(vectors, tables)),
+                                                          levels=[x.tobytes() for x in similar.levels(vectors)], shingles=[len(s) for s in sets])
 
     rows = docs.select(F.col(key), row_key(key, text).alias("row_key"), F.xxhash64(F.lit(2), F.col(key), F.col(text)).alias("row_key2"), F.col(text).cast("binary").alias("_text"))
     kind = dict(docs.dtypes)[key]
-    return rows.mapInPandas(run, f"`{key}` {kind}, row_key bigint, row_key2 bigint, fp bigint, node bigint, words binary, wide array<bigint>, keys array<bigint>")
+    return rows.mapInPandas(run, f"`{key}` {kind}, row_key bigint, row_key2 bigint, fp bigint, node bigint, words binary, wide array<bigint>, keys array<bigint>, levels binary, shingles bigint")
 
 
 def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS, least: float = similar.LEAST) -> DataFrame:
     """(key, row_key, row_key2, component, other) of every row; other is null but for the second of two texts with one hash. Two texts are linked if their fingerprints differ in `max_bits`
     bits or fewer, as in classes(), or if they have `least` or more of their five-word shingles in common."""
     marked = cut(similar_marks(docs, key, text))
-    distinct = cut(marked.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(F.struct("words", "fp", "wide", "keys")).alias("m")).select("node", "row_key", "m.*"))
+    distinct = cut(marked.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(F.struct("words", "fp", "wide", "keys", "levels", "shingles")).alias("m")).select("node", "row_key", "m.*"))
     rows = docs.select(row_key(key, text).alias("row_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def texts(pairs: DataFrame) -> DataFrame:

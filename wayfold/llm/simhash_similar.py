@@ -14,8 +14,9 @@ tell where to look:
    coordinate are discarded, survivors are compared bit by bit, and a run emits a spanning forest.
 4. The forest's pairs are verified on the shingles of whole texts. Many near fingerprints are of texts that are
    less alike, so a tree that verification broke gives further pairs, in rounds: the near pairs of its next rows
-   with all rows that are not known to be of their component, until every row had its turn. What is linked in the end is
-   what verifying all near pairs of all runs would link.
+   with all rows of other components, until every row had its turn. The sums themselves tell the similarity of such a pair
+   to about 0.02, so pairs that seem to be SLACK or more below `least` are discarded before texts are read. What is linked in
+   the end is what verifying all other near pairs of all runs would link.
 
 Pairs are found with a probability: about 0.99 at similarity 0.8, nearer 1 above it. Defined results: as in
 simhash_dedup; a text under `shingle_words` words has its whole word sequence as its one shingle."""
@@ -23,6 +24,7 @@ simhash_dedup; a text under `shingle_words` words has its whole word sequence as
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from math import ceil, log2
 
 import numpy as np
@@ -31,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import cut, with_totals
+from wayfold.llm.common import with_totals, written
+from wayfold.llm.components import connected_components
 from wayfold.llm.runs import forest, run_slices, whole_runs
 
 WIDE = 256
@@ -45,10 +48,14 @@ CROWD = 512
 COMPARED, BITS = 128, 34
 #: Up to this length all pairs of a run are looked at in one sweep, which most runs have none to keep of.
 SWEPT = 64
+#: How far below `least` the similarity told by the sums may be; its error at 0.8 is about 0.02.
+SLACK = 0.08
 #: Rows of a broken tree that have their turn in its first round; each round takes GROWTH times as many as all before.
 FIRST, GROWTH = 16, 4
 #: Pairs that are handed on at once.
 _PAIRS = 100_000
+#: Shingles of this many texts of up to so many bytes are kept while pairs are verified.
+_KEPT, _SHORT = 256, 100_000
 #: Shingles summed at once.
 _CHUNK = 50_000
 _SEED = 8
@@ -123,6 +130,17 @@ def bits(vectors: np.ndarray) -> np.ndarray:
     return np.packbits(vectors[:, :COMPARED] > 0, axis=1).view(np.int64)
 
 
+def levels(vectors: np.ndarray) -> np.ndarray:
+    """(rows, WIDE) sums in steps of a 127th of the row's largest."""
+    return np.rint(vectors * (127 / np.maximum(np.abs(vectors).max(axis=1, keepdims=True), 1))).astype(np.int8)
+
+
+def seeming(units: np.ndarray, counts: np.ndarray, at: int, rest: np.ndarray) -> np.ndarray:
+    """The similarity of row `at` with the rows `rest`, told by their sums (as unit vectors) and numbers of shingles."""
+    common = units[rest] @ units[at] * np.sqrt(counts[rest] * counts[at])
+    return common / np.maximum(counts[rest] + counts[at] - common, 1)
+
+
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=-1, dtype=np.int16)
 
@@ -195,26 +213,21 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def labels(good: DataFrame) -> DataFrame:
-    """(node, component) of the ends of pairs: the least node within two links. Equal ones are linked; linked ones may differ."""
-    both = good.select(F.col("a").alias("u"), F.col("b").alias("v")).union(good.select("b", "a"))
-    both = both.union(both.select("u", F.col("u").alias("v"))).distinct()
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "v")
-    return with_totals(both, least, "v").groupBy("u").agg(F.min("m").alias("component")).withColumnRenamed("u", "node")
-
-
-def further(broken: DataFrame, first: int, last: int, most: int = BITS) -> DataFrame:
-    """(a, b): the near pairs of the rows `first` to `last` of each tree with later rows of other components."""
+def further(broken: DataFrame, first: int, last: int, least: float = LEAST, most: int = BITS) -> DataFrame:
+    """(a, b): the near pairs of the rows `first` to `last` of each tree with later rows of other components, but for those that seem too little alike."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for block in whole_runs(batches, "tree"):
             node, component, wide = block["node"].to_numpy(), block["component"].to_numpy(), block[_LONGS].to_numpy()
-            table, found, n = distances(wide), [], 0
+            units = np.frombuffer(b"".join(block["levels"]), np.int8).reshape(len(node), WIDE).astype(np.float32)
+            units /= np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1)
+            table, counts, found, n = distances(wide), block["shingles"].to_numpy(), [], 0
             for tree in run_slices(block["tree"].to_numpy()):
                 for i in range(min(tree.start + first, tree.stop), min(tree.start + last, tree.stop)):
                     rest = np.arange(i + 1, tree.stop)
                     rest = rest[component[rest] != component[i]]
                     rest = rest[near(wide, table, i, rest, most)]
+                    rest = rest[seeming(units, counts, i, rest) > least - SLACK]
                     found.append(pd.DataFrame({"a": np.full(len(rest), node[i]), "b": node[rest]}))
                     n += len(rest)
                     if n > _PAIRS:
@@ -228,43 +241,52 @@ def further(broken: DataFrame, first: int, last: int, most: int = BITS) -> DataF
 
 def alike(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], least: float = LEAST, most: int = BITS) -> DataFrame:
     """(a, b): verified pairs that link what all verified near pairs of all runs link; texts(pairs) are the (node, text) of their ends."""
-    found = cut(trees(distinct, most))
-    pairs = cut(_ordered(found.where("parent is not null").select(F.col("parent").alias("a"), F.col("node").alias("b"))))
-    good, tried = cut(verified(pairs, texts(pairs), least)), pairs
+    found = written(trees(distinct, most))
+    pairs = written(_ordered(found.where("parent is not null").select(F.col("parent").alias("a"), F.col("node").alias("b"))))
+    good, tried = written(verified(pairs, texts(pairs), least)), pairs
     # In a tree of two rows the one pair was tried.
     rest, first, last = found.where("size > 2").select("tree", "node", *_LONGS), 0, FIRST
+    told = distinct.select("node", "levels", "shingles")
     while True:
-        named = labels(good).select(F.col("node").alias("_n"), "component")
+        named = connected_components(good).select(F.col("node").alias("_n"), "component")
         rows = rest.join(named, rest.node == F.col("_n"), "left").select("tree", "node", F.coalesce("component", "node").alias("component"), *_LONGS)
         whole = rows.groupBy("tree").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
-        broken = cut(with_totals(rows, whole.where(F.col("x") != F.col("y")).where(F.col("n") > first + 1).select("tree", "n"), "tree"))
+        broken = written(with_totals(rows, whole.where(F.col("x") != F.col("y")).where(F.col("n") > first + 1).select("tree", "n"), "tree"))
         longest = broken.agg(F.max("n")).first()[0]
         if longest is None:
             return good
         rest = broken.select("tree", "node", *_LONGS)
+        told = written(told.join(rest.select("node").distinct(), "node", "left_semi"))
         while True:
-            pairs = cut(further(broken, first, last, most).join(tried, ["a", "b"], "left_anti"))
+            pairs = written(further(broken.join(told, "node"), first, last, least, most).join(tried, ["a", "b"], "left_anti"))
             first, last = last, last * (GROWTH + 1)
             if not pairs.isEmpty():
                 break
             if first >= longest - 1:
                 return good
         tried = tried.unionByName(pairs)
-        good = good.unionByName(cut(verified(pairs, texts(pairs), least)))
+        good = good.unionByName(written(verified(pairs, texts(pairs), least)))
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
-    """The pairs (a, b) whose whole texts (node, text binary) have `least` or more of their shingles in common."""
+    """The pairs (a, b) whose whole texts (node, text binary) have `least` or more of their shingles in common.
+
+    Pairs are dealt out evenly: they are few bytes, as the texts of a hub repeat, but much work."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def whole(text: bytes) -> np.ndarray:
+            return shingles(text.lower().split(), shingle_words)
+
+        again = lru_cache(_KEPT)(whole)
         for batch in batches:
             good = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                s, t = (shingles(z.lower().split(), shingle_words) for z in (x, y))
+                s, t = (again(z) if len(z) <= _SHORT else whole(z) for z in (x, y))
                 common = len(np.intersect1d(s, t, assume_unique=True))
                 good.append(common >= least * (len(s) + len(t) - common))
             yield batch.loc[np.array(good, bool), ["a", "b"]]
 
     met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
     met = met.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    return met.select("a", "b", "x", "y").mapInPandas(run, "a bigint, b bigint")
+    even = met.select("a", "b", "x", "y").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("a", "b"))
+    return even.mapInPandas(run, "a bigint, b bigint")
