@@ -116,7 +116,9 @@ class LineRuns:
         shared = self.shared()
         heavy = shared.where(F.col("docs") >= self.heavy(self.chars)).select("k1", "k2", F.col("last").alias("a"), F.lit(True).alias("in_a"))
         other = shared.where(F.col("docs") < self.heavy(self.chars)).select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("last").alias("b"), F.lit(True).alias("in_b"))
-        at = docs.select(row[0].alias("r1"), row[1].alias("r2"), F.col(f"`{id_col}`").alias("id"), F.posexplode(_lines(F.col("`text`"))).alias("pos", "line"))
+        # Hashes of a row come before its lines do: beside them, they would be taken again for each line.
+        at = docs.select(row[0].alias("r1"), row[1].alias("r2"), F.col(f"`{id_col}`").alias("id"), F.col("`text`").alias("text"))
+        at = at.select("r1", "r2", "id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
         at = at.withColumn("key", _key(F.col("line"))).where(F.length("key") >= self.min_chars).select("r1", "r2", "id", "pos", *_hashes("key"))
         at = at.join(F.broadcast(heavy), ["k1", "k2"], "left")
         own = F.col("in_a").isNotNull()  # no need to look further: a key of its own, that no run has
