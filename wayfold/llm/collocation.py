@@ -2,24 +2,24 @@
 
 Texts are lower-cased (A-Z), split into pieces and words, and kept as blocks: the words of some texts as local codes. A block
 lists each of its words once with its count; all blocks' counts meet by word, and a word in at least `min_count` places gets a
-name (the place of its first listing, as one long). The blocks take the names over. Level by level, two adjacent names of phrases of
-k - 1 words, which share all but their outer words, are a pair; pairs are counted and named as words were. A pair names a phrase of k
-words, as a phrase can only be frequent if both of its parts are.
+name. The blocks take the names over. Level by level, two adjacent names of phrases of k - 1 words, which share all but their outer words, are
+a pair; pairs are counted and named as words were. A pair names a phrase of k words, as a phrase can only be frequent if both of its parts are.
 
-What moves is one row for each different pair of a block, at most one a block for any pair, so that no key of the shuffle is hot; and
-blocks of codes, which shrink as the phrases get longer. A named pair keeps its two parts, the parents. They give a phrase the counts of all
+What a block lists is dealt out by buckets, hashes of the word or the pair: one packed row for each block and bucket, with what differs in it once. So no
+key is hot, and a bucket, which one task holds at a time, has about BUCKET_CHARS of text in all of the corpus. Names go back as places in those lists.
+Blocks of codes move once a level and shrink as the phrases get longer. A named pair keeps its two parts, the parents. They give a phrase the counts of all
 its beginnings and ends (each is a parent's, or its parent's), so the cuts need no other lookup. A phrase lies in a longer one that is as
 frequent exactly if it is a parent of one, as all phrases between the two are as frequent.
 
 Defined results: a null text is an empty one, a null language `und`. Repeated rows count each. Ties as the contract says. An empty table
-gives no rows. Other columns are not read. Texts are cut at pieces; a single piece may have at most 2**26 words, longer ones are an error."""
+gives no rows. Other columns are not read. Texts are cut at pieces; a piece is not cut, and is as much of a block as it is long."""
 
 from __future__ import annotations
 
 import itertools
 import zlib
 from array import array
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
@@ -28,25 +28,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import with_totals, written
+from wayfold.llm.common import Kept, with_totals
+from wayfold.llm.runs import whole_runs
 
 #: Fixed by the result contract: words of a phrase, least count, rows for each language.
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
-#: A block is closed when it has so many words.
-BLOCK_WORDS = 4_000_000
-#: A listing's place: the partition that made the block, the block in it, the entry in the block.
-_SEQ_BITS, _ENTRY_BITS = 15, 26
+#: A block is closed when it has so many words; characters of text for each bucket.
+BLOCK_WORDS, BUCKET_CHARS = 4_000_000, 16_000_000
 _PIECE = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
-_ROWS = 100_000
+#: Bits of a block's number within its partition, and of a name within its bucket.
+_SEQ_BITS, _NAME_BITS = 20, 36
 
 
-def _packed(codes: np.ndarray) -> bytes:
-    """int32 codes by planes of bytes, which pack better."""
-    return zlib.compress(np.ascontiguousarray(codes.astype("<i4").view(np.uint8).reshape(-1, 4).T), 1)
+def _pack(numbers: np.ndarray) -> bytes:
+    """Whole numbers by planes of bytes, which pack better."""
+    wide = np.ascontiguousarray(numbers, "<i8" if numbers.dtype.itemsize == 8 else "<i4")
+    return bytes([wide.itemsize]) + zlib.compress(np.ascontiguousarray(wide.view(np.uint8).reshape(-1, wide.itemsize).T), 1)
 
 
-def _codes(packed: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+def _unpack(packed: bytes) -> np.ndarray:
+    size = packed[0]
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(packed[1:]), np.uint8).reshape(size, -1).T).view(f"<i{size}").ravel()
 
 
 class _Block:
@@ -63,14 +65,26 @@ class _Block:
             self.codes.extend(map(own.__getitem__, piece.split()))
             self.codes.append(-1)
 
-    def row(self) -> dict:
+    def rows(self, block: int, buckets: int) -> Iterator[dict]:
+        """The block's own row, then a list of words for each language and bucket. starts: where in `order`, the codes by lists, each list begins."""
         codes = np.frombuffer(self.codes, np.int32)
         times = np.bincount(codes[codes >= 0], minlength=1)
-        langs = [(lang, w, c) for lang, own in self.words.items() for w, c in own.items()]
-        langs.sort(key=lambda x: x[2])
-        if len(langs) >= 1 << _ENTRY_BITS:
-            raise ValueError("a piece of text has too many words")
-        return {"codes": _packed(codes), "langs": [x[0] for x in langs], "words": [x[1].decode() for x in langs], "times": [int(times[x[2]]) for x in langs]}
+        lists, orders, starts, at = [], [], [], 0
+        if not any(self.words.values()):
+            return
+        for lang, own in self.words.items():
+            if not own:
+                continue
+            words, code = list(own), np.fromiter(own.values(), np.int32, len(own))
+            bucket = np.fromiter(map(zlib.crc32, words), np.uint32, len(words)) % buckets
+            order = np.argsort(bucket, kind="stable")
+            orders.append(code[order])
+            for part in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                lists.append({"block": block, "bucket": int(bucket[part[0]]), "lang": lang, "list": len(starts), "x": zlib.compress(b" ".join([words[i] for i in part]), 1), "times": _pack(times[code[part]])})
+                starts.append(at)
+                at += len(part)
+        yield {"block": block, "codes": _pack(codes), "order": _pack(np.concatenate(orders)), "starts": _pack(np.array(starts, np.int64)), "n": {lang: int(times[list(own.values())].sum()) for lang, own in self.words.items() if own}}
+        yield from lists
 
 
 def _parts(text: bytes, at_most: int) -> Iterator[bytes]:
@@ -86,7 +100,14 @@ def _parts(text: bytes, at_most: int) -> Iterator[bytes]:
     yield text[at:]
 
 
-def _encode(block_words: int):
+_ENCODED = "block long, codes binary, order binary, starts binary, n map<string, long>, bucket int, lang string, list int, x binary, times binary"
+
+
+def _frame(rows: list[dict], schema: str) -> pd.DataFrame:
+    return pd.DataFrame({c.split()[0]: pd.Series([r.get(c.split()[0]) for r in rows], dtype=object) for c in schema.replace("map<string, long>", "map").split(", ")})
+
+
+def _encode(block_words: int, buckets: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
@@ -96,82 +117,151 @@ def _encode(block_words: int):
                 for part in _parts(text.encode().lower().translate(_PIECE), 1 << 24):
                     block.add(lang, part)
                     if len(block.codes) >= block_words:
-                        yield pd.DataFrame([{"block": first + seq} | block.row()])
+                        yield _frame(list(block.rows(first + seq, buckets)), _ENCODED)
                         seq, block = seq + 1, _Block()
-                        if seq >= 1 << _SEQ_BITS:
-                            raise ValueError("a partition has too many blocks; read it in more partitions")
         if block.words:
-            yield pd.DataFrame([{"block": first + seq} | block.row()])
+            yield _frame(list(block.rows(first + seq, buckets)), _ENCODED)
+
+    return run
+
+
+#: What counting gives: for a list the entries that are named, and their names; for a name what it stands for.
+_NAMED = "block long, bucket int, list int, at binary, names binary, name long, lang string, word string, x long, y long, f long"
+
+
+def _name_words(min_count: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_runs(batches, "bucket"):
+            for bucket, own in rows.groupby("bucket", sort=False):
+                lists = [zlib.decompress(x).split(b" ") for x in own["x"]]
+                total: dict = defaultdict(Counter)
+                for lang, words, times in zip(own["lang"], lists, own["times"]):
+                    count = total[lang]
+                    for w, t in zip(words, _unpack(times).tolist()):
+                        count[w] += t
+                out, names, base = [], {}, int(bucket) << _NAME_BITS
+                for lang, count in total.items():
+                    for w, f in count.items():
+                        if f >= min_count:
+                            names[lang, w] = name = base + len(out)
+                            out.append({"name": name, "lang": lang, "word": w.decode(), "f": f})
+                for block, lang, n, words in zip(own["block"], own["lang"], own["list"], lists):
+                    found = [(i, names[lang, w]) for i, w in enumerate(words) if (lang, w) in names]
+                    if found:
+                        at, own_names = np.array(found, np.int64).T
+                        out.append({"block": block, "bucket": bucket, "list": n, "at": _pack(at.astype(np.int32)), "names": _pack(own_names)})
+                yield _frame(out, _NAMED)
 
     return run
 
 
-def _pairs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different pairs of adjacent codes, sorted; where pairs are; which pair is there."""
+def _pairs(codes: np.ndarray, names: np.ndarray, buckets: int) -> tuple:
+    """The different pairs of adjacent codes by bucket: x, y (names), the bucket of each, where pairs are, and which one is there."""
     at = np.flatnonzero((codes[:-1] >= 0) & (codes[1:] >= 0))
     pairs, which = np.unique(codes[at].astype(np.int64) << 32 | codes[at + 1], return_inverse=True)
-    return pairs, at, which
+    x, y = names[pairs >> 32], names[pairs & 0xFFFFFFFF]
+    h = (x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (y.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    bucket = ((h >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return x[order], y[order], bucket[order], at, place[which]
+
+
+_LIST = "block long, bucket int, x binary, y binary, times binary"
+
 
+def _list_pairs(buckets: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for block, packed, names in zip(batch["block"], batch["codes"], batch["names"]):
+                x, y, bucket, _, which = _pairs(_unpack(packed), _unpack(names), buckets)
+                if not len(x):
+                    continue
+                times = np.bincount(which, minlength=len(x))
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(bucket)) + 1, [len(x)]))
+                # x comes in runs: its differences pack well.
+                yield _frame([{"block": block, "bucket": int(bucket[a]), "x": _pack(np.diff(x[a:b], prepend=0)), "y": _pack(y[a:b]), "times": _pack(times[a:b].astype(np.int32))} for a, b in itertools.pairwise(cuts)], _LIST)
+
+    return run
+
+
+def _name_pairs(min_count: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in whole_runs(batches, "bucket"):
+            for bucket, own in rows.groupby("bucket", sort=False):
+                xs, ys = [np.cumsum(_unpack(x)) for x in own["x"]], [_unpack(y) for y in own["y"]]
+                x, y, times = np.concatenate(xs), np.concatenate(ys), np.concatenate([_unpack(t) for t in own["times"]])
+                order = np.lexsort((y, x))
+                first = np.flatnonzero(np.concatenate(([True], (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0))))
+                f = np.add.reduceat(times[order].astype(np.int64), first)
+                named = f >= min_count
+                names = np.where(named, (int(bucket) << _NAME_BITS) + np.cumsum(named) - 1, -1)
+                of = np.empty(len(order), np.int64)
+                of[order] = np.repeat(names, np.diff(np.append(first, len(order))))
+                out = [{"name": n, "x": p, "y": q, "f": c} for n, p, q, c in zip(names[named].tolist(), x[order][first][named].tolist(), y[order][first][named].tolist(), f[named].tolist())]
+                ends = np.cumsum([len(v) for v in xs])
+                for block, end, n in zip(own["block"], ends, map(len, xs)):
+                    mine = of[end - n : end]
+                    at = np.flatnonzero(mine >= 0)
+                    if len(at):
+                        out.append({"block": block, "bucket": bucket, "at": _pack(at.astype(np.int32)), "names": _pack(mine[at])})
+                yield _frame(out, _NAMED)
+
+    return run
 
-def _list_pairs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(x, y, times, place) of each different pair of a block; x and y are names."""
-    for batch in batches:
-        for block, packed, names in zip(batch["block"], batch["codes"], batch["names"]):
-            names = np.asarray(names, np.int64)
-            pairs, _, which = _pairs(_codes(packed))
-            times = np.bincount(which, minlength=len(pairs))
-            for i in range(0, len(pairs), _ROWS):
-                p = pairs[i : i + _ROWS]
-                yield pd.DataFrame({"x": names[p >> 32], "y": names[p & 0xFFFFFFFF], "times": times[i : i + _ROWS], "place": (block << _ENTRY_BITS) + np.arange(i, i + len(p))})
 
+_BLOCK = "block long, codes binary, names binary"
 
-def _renamed(pairs: bool):
-    """A block with the codes of named words, or of named pairs of its names, in place of its codes."""
+
+def _take_names(buckets: int | None):
+    """A block with codes of the named words, or (buckets) of the named pairs of its names, in place of its codes."""
 
     def run(key: tuple, blocks: pd.DataFrame, named: pd.DataFrame) -> pd.DataFrame:
         if not len(blocks) or not len(named):
-            return pd.DataFrame({"block": np.zeros(0, np.int64), "codes": [], "names": []})
-        codes = _codes(blocks["codes"].iat[0])
-        entries = (named["place"].to_numpy() & ((1 << _ENTRY_BITS) - 1)).astype(np.int64)
-        if pairs:
-            listed, at, which = _pairs(codes)
-            new = np.full(len(listed), -1, np.int32)
+            return _frame([], _BLOCK)
+        codes, at, names = _unpack(blocks["codes"].iat[0]), [_unpack(x) for x in named["at"]], np.concatenate([_unpack(x) for x in named["names"]])
+        if buckets is None:
+            order, starts = _unpack(blocks["order"].iat[0]), _unpack(blocks["starts"].iat[0])
+            entries = order[np.concatenate([starts[n] + x for n, x in zip(named["list"], at)])]
+            new = np.full(len(order) + 1, -1, np.int32)  # -1 takes the last
             new[entries] = np.arange(len(entries))
-            out = np.full(len(codes), -1, np.int32)
-            out[at] = new[which]
+            out = new[codes]
         else:
-            new = np.full(max(int(codes.max()), 0) + 2, -1, np.int32)
+            x, _, bucket, places, which = _pairs(codes, _unpack(blocks["names"].iat[0]), buckets)
+            entries = np.concatenate([np.searchsorted(bucket, int(b)) + i for b, i in zip(named["bucket"], at)])
+            new = np.full(len(x), -1, np.int32)
             new[entries] = np.arange(len(entries))
-            out = new[codes]  # -1 takes the last, which is -1
-        return pd.DataFrame({"block": [key[0]], "codes": [_packed(out)], "names": [named["name"].tolist()]})
+            out = np.full(len(codes), -1, np.int32)
+            out[places] = new[which]
+        return _frame([{"block": key[0], "codes": _pack(out), "names": _pack(names)}], _BLOCK)
 
     return run
 
 
-def _named(rows: DataFrame, key: list[str], min_count: int) -> DataFrame:
-    """Rows (key, times, place) whose key has at least min_count in all, with that count f and a name."""
-    w = Window.partitionBy(*key)
-    return rows.withColumns({"f": F.sum("times").over(w), "name": F.min("place").over(w)}).where(F.col("f") >= min_count).drop("times")
-
-
-def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, block_words: int = BLOCK_WORDS) -> tuple[list[DataFrame], DataFrame]:
+def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_COUNT, block_words: int = BLOCK_WORDS, bucket_chars: int = BUCKET_CHARS) -> tuple[list[DataFrame], DataFrame]:
     """Tables of named phrases of 1, 2, ... words, and (lang, n), the words of each language.
 
     Words: (name, lang, word, f). Longer ones: (name, x, y, f), x and y the names of all but the last word and of all but the first."""
     texts = docs.where(F.col("`text`").isNotNull()).select(F.coalesce(F.col("`lang`"), F.lit("und")).alias("lang"), F.col("`text`").alias("text"))
-    blocks = written(texts.mapInPandas(_encode(block_words), "block long, codes binary, langs array<string>, words array<string>, times array<long>"))
-    listed = blocks.select("block", F.posexplode(F.arrays_zip("langs", "words", "times")).alias("entry", "w"))
-    n = listed.groupBy(F.col("w.langs").alias("lang")).agg(F.sum("w.times").alias("n"))
-    place = F.shiftleft("block", _ENTRY_BITS) + F.col("entry")
-    named = written(_named(listed.select(F.col("w.langs").alias("lang"), F.col("w.words").alias("word"), F.col("w.times").alias("times"), place.alias("place")), ["lang", "word"], min_count))
-    tables = [named.where("name = place").select("name", "lang", "word", "f")]
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parts, (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // bucket_chars)
+    encoded = Kept(texts.mapInPandas(_encode(block_words, buckets), _ENCODED))
+    n = Kept(encoded.rows.where("codes is not null").select(F.explode("n").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"))).rows
+    by_bucket = lambda rows: rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    lists = encoded.rows.where("codes is null").select("block", "bucket", "lang", "list", "x", "times")
+    named = Kept(by_bucket(lists).mapInPandas(_name_words(min_count), _NAMED))
+    tables, blocks = [named.rows.where("name is not null").select("name", "lang", "word", "f")], encoded
     for k in range(2, max_words + 1):
-        at = named.select(F.shiftright("place", _ENTRY_BITS).alias("block"), "place", "name")
-        blocks = blocks.select("block", "codes").groupBy("block").cogroup(at.groupBy("block")).applyInPandas(_renamed(k > 2), "block long, codes binary, names array<long>")
-        blocks = written(blocks)
-        pairs = blocks.mapInPandas(_list_pairs, "x long, y long, times long, place long")
-        named = written(_named(pairs, ["x", "y"], min_count))
-        tables.append(named.where("name = place").select("name", "x", "y", "f"))
+        own = blocks.rows.where("codes is not null").select("block", "codes", *(["order", "starts"] if k == 2 else ["names"]))
+        names = named.rows.where("name is null").select("block", "bucket", "list", "at", "names")
+        taken = Kept(own.groupBy("block").cogroup(names.groupBy("block")).applyInPandas(_take_names(None if k == 2 else buckets), _BLOCK))
+        blocks.drop()
+        blocks = taken
+        named = Kept(by_bucket(blocks.rows.mapInPandas(_list_pairs(buckets), _LIST)).mapInPandas(_name_pairs(min_count), _NAMED))
+        tables.append(named.rows.where("name is not null").select("name", "x", "y", "f"))
+    blocks.drop()
     return tables, n
 
 

@@ -30,6 +30,20 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(at)
 
 
+class Kept:
+    """Rows written to the shared folder as Parquet, until drop() takes them away again."""
+
+    def __init__(self, df: DataFrame):
+        self.spark, self.at = df.sparkSession, f"{checkpoint_dir(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+        df.write.parquet(self.at)
+        self.rows = self.spark.read.parquet(self.at)
+
+    def drop(self) -> None:
+        """For rows that no result needs any more."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.at)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def n_words(text: Column | str) -> Column:
     """Words of a text as a long; null counts 0."""
     text = F.col(text) if isinstance(text, str) else text
