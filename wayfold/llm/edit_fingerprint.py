@@ -9,8 +9,8 @@ level are among those of a lower one, so fingerprints of different levels can be
 
 Near-duplicate search samples the fingerprint's bits again: a band is the samples at WIDTH places, drawn over the whole
 fingerprint. How far the places reach goes in steps of an eighth or so; a fingerprint has the bands of the greatest reach that is within it and of
-the next lower one, so that texts of slightly different lengths meet. Fingerprints that agree in a band are verified by likeness;
-classes are connected components of the verified links. Texts that differ by over a ninth in length are not looked for.
+the LOWER next ones. A likeness of 0.8 takes lengths of which the shorter is at least 0.8 of the longer, less than two steps, so whatever can be that much
+alike has bands in common. Fingerprints that agree in a band are verified by likeness; classes are connected components of the verified links.
 
 The walk runs in C (itertools.accumulate over tables of next states), a text at a time, in Arrow batches. Documents are sorted within ranges of the key, which begin at keys
 chosen by hash; the first document of a range goes to the one before too. A task reads its ranges as a stream and holds one text
@@ -48,6 +48,8 @@ RANGE_ROWS = 5_000
 MOST_RANGES = 100_000
 #: Bands of one reach, the places of a band, and the steps of reach between one level and the next.
 BANDS, WIDTH, STEPS = 12, 6, 6
+#: Lower reaches of which a fingerprint also has the bands: as many steps as the lengths of texts of likeness LEAST can be apart.
+LOWER = 2
 LEAST = 0.8
 
 
@@ -234,15 +236,15 @@ _PLACES = _places()
 
 
 def bands(fingerprint: bytes) -> list[int]:
-    """Keys of a fingerprint: those of the greatest reach within it and of the next lower one, at its own level or at the next."""
+    """Keys of a fingerprint: those of the greatest reach within it and of the LOWER next ones; near a level's end also that of the next level."""
     level, marks = fingerprint[0], np.frombuffer(fingerprint, np.uint8)[1:]
     at = int(np.searchsorted(_REACHES, len(marks), "right")) - 1
     if at < 0:
         return [xxhash.xxh64_intdigest(fingerprint)]
-    use = [(level, at, marks)] + ([(level, at - 1, marks)] if at else [])
-    if at == len(_REACHES) - 1:
-        # The next longer texts are at the next level, and look for it one reach below their first.
-        use.append((level + 1, len(_REACHES) - STEPS - 1, marks[::2]))
+    use = [(level, at - j, marks) for j in range(LOWER + 1) if at >= j]
+    if at >= len(_REACHES) - LOWER:
+        # Longer texts of the next level look for this one at up to LOWER reaches below their first.
+        use.append((level + 1, at - STEPS, marks[::2]))
     return [xxhash.xxh64_intdigest(row.tobytes(), (l << 16) + (r << 8) + i) for l, r, m in use for i, row in enumerate(m[_PLACES[r]])]
 
 
