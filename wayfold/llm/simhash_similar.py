@@ -54,8 +54,8 @@ SLACK = 0.08
 FIRST, GROWTH = 16, 4
 #: Pairs that are handed on at once.
 _PAIRS = 100_000
-#: Shingles of this many texts of up to so many bytes are kept while pairs are verified.
-_KEPT, _SHORT = 256, 100_000
+#: Pairs of a cell of verification, on average; texts whose shingles are kept while a cell is verified.
+CELL_PAIRS, _KEPT = 1_000, 256
 #: Shingles summed at once.
 _CHUNK = 50_000
 _SEED = 8
@@ -268,25 +268,40 @@ def alike(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], least: f
         good = good.unionByName(written(verified(pairs, texts(pairs), least)))
 
 
+def dealt(pairs: DataFrame, cell_pairs: int = CELL_PAIRS) -> DataFrame:
+    """`pairs` (a, b) with their cell: cells of about so many pairs, all of a leaf's in one, and as many cells for a hub as its pairs fill.
+
+    Of a pair's ends the leaf is the one that is in fewer pairs."""
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b"))
+    degree = ends.groupBy("node").agg(F.count("*").alias("pairs"))
+    of = lambda end: degree.select(F.col("node").alias(end), F.col("pairs").alias(f"{end}_pairs"))
+    known = with_totals(with_totals(pairs, of("a"), "a"), of("b"), "b")
+    leaf = F.when(F.col("a_pairs") < F.col("b_pairs"), F.col("a")).otherwise(F.col("b"))
+    cells = max(1, -(-pairs.count() // cell_pairs))
+    return known.select("a", "b", F.pmod(F.xxhash64(leaf), F.lit(cells)).cast("int").alias("cell"))
+
+
 def verified(pairs: DataFrame, texts: DataFrame, least: float = LEAST, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """The pairs (a, b) whose whole texts (node, text binary) have `least` or more of their shingles in common.
 
-    Pairs are dealt out evenly: they are few bytes, as the texts of a hub repeat, but much work."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def whole(text: bytes) -> np.ndarray:
-            return shingles(text.lower().split(), shingle_words)
-
-        again = lru_cache(_KEPT)(whole)
-        for batch in batches:
-            good = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                s, t = (again(z) if len(z) <= _SHORT else whole(z) for z in (x, y))
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                good.append(common >= least * (len(s) + len(t) - common))
-            yield batch.loc[np.array(good, bool), ["a", "b"]]
-
-    met = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
-    met = met.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b")
-    even = met.select("a", "b", "x", "y").repartition(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("a", "b"))
-    return even.mapInPandas(run, "a bigint, b bigint")
+    Pairs are dealt out to cells as ids; each cell is sent the text of each of its nodes once. So a leaf's text moves once, and a hub's once for
+    each CELL_PAIRS of its pairs."""
+
+    def run(key: tuple, own: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
+        texts = dict(zip(text["node"], text["text"], strict=True))
+        whole = lru_cache(_KEPT)(lambda node: shingles(texts[node].lower().split(), shingle_words))
+        good = []
+        # By the end that has the most pairs here first, so that its shingles are at hand.
+        times = pd.concat([own["a"], own["b"]]).value_counts()
+        hub = np.where(own["a"].map(times) >= own["b"].map(times), own["a"], own["b"])
+        own = own.iloc[np.argsort(hub, kind="stable")]
+        for a, b in zip(own["a"], own["b"], strict=True):
+            s, t = whole(a), whole(b)
+            common = len(np.intersect1d(s, t, assume_unique=True))
+            good.append(common >= least * (len(s) + len(t) - common))
+        return own.loc[np.array(good, bool), ["a", "b"]]
+
+    pairs = written(dealt(pairs))
+    wanted = pairs.select(F.col("cell").alias("of"), F.col("a").alias("node")).union(pairs.select("cell", "b")).distinct()
+    sent = wanted.join(texts, "node")
+    return pairs.groupBy("cell").cogroup(sent.groupBy("of")).applyInPandas(run, "a bigint, b bigint")
