@@ -242,6 +242,23 @@ def test_op4_search_finds_edits_anywhere(spark, where):
     assert all(got[i + 150] in (i, i + 150) and got[i] == i for i in range(150)) and all(got[i + 150] == i + 150 for i in range(150) if i not in pairs)
 
 
+@pytest.mark.parametrize("change", ["append", "prepend", "cut end", "cut start"])
+@pytest.mark.parametrize("share", [0.05, 0.12, 0.2, 0.24])
+def test_op4_search_finds_texts_of_other_lengths(spark, change, share):
+    """Recall at the default likeness against all planted pairs that have it, for texts that grew or were cut."""
+    draw = random.Random(f"{change}{share}")
+    word = lambda n: "".join(draw.choice("abcdefghij ") for _ in range(n))
+    texts = [word(draw.randrange(300, 6000)) for _ in range(100)]
+    more = {"append": lambda t, n: t + word(n), "prepend": lambda t, n: word(n) + t, "cut end": lambda t, n: t[: len(t) - n], "cut start": lambda t, n: t[n:]}[change]
+    changed = [more(t, int(len(t) * share)) for t in texts]
+    prints = [edit_fingerprint.fingerprint(t) for t in texts + changed]
+    pairs = [i for i in range(100) if edit_fingerprint.likeness(prints[i], prints[i + 100]) >= 0.8]
+    got = {r.doc_id: r.component_id for r in edit_fingerprint.near_classes(spark.createDataFrame(list(enumerate(texts + changed)), "doc_id long, text string")).collect()}
+    found = sum(got[i + 100] == i for i in pairs)
+    assert found >= 0.9 * len(pairs), f"{found} of {len(pairs)}"
+    assert len(pairs) > 40 or "start" in change or "pre" in change or share > 0.2
+
+
 def test_op4_comparing_many_is_likeness():
     draw = random.Random(6)
     base = "".join(draw.choice("abcdef") for _ in range(300))
@@ -533,8 +550,7 @@ def plain_replies(rows):
             votes = defaultdict(lambda: [0, 0, 0, 0])
             for g, grain in enumerate(grains):
                 for u in grain:
-                    having = [t for t in own[conv] if t < turn and u in own[conv][t]]
-                    for t in {min(having), max(having)} if having else ():
+                    for t in (t for t in own[conv] if t < turn and u in own[conv][t]):
                         votes[t][g] += len(u.split(" "))
             if votes:
                 rank = {t: (v[3] > 0, v[2], len(whole.split(" ")) if v[3] else max(v[0], v[1]), t) for t, v in votes.items()}
@@ -546,8 +562,10 @@ def plain_replies(rows):
     return out
 
 
-def test_op9_against_brute_force_on_threads(spark):
-    """Conversations that quote whole messages, parts, lines wrapped anew, several levels, common lines and strangers."""
+@pytest.mark.parametrize("rare", [0, 2, 32])
+def test_op9_against_brute_force_on_threads(spark, monkeypatch, rare):
+    """rare: how many holders of a hash are all looked at at once; the results are those of looking at every earlier message. Conversations that quote whole messages, parts, lines wrapped anew, several levels, common lines and strangers."""
+    monkeypatch.setattr(chat_format, "RARE", rare)
     draw = random.Random(9)
     common = ["Thanks.", "Hello all,", "Best wishes", "+1", "See above."]
     rows = []
@@ -581,6 +599,21 @@ def test_op9_against_brute_force_on_threads(spark):
         assert (r.thread, r.depth) == (at[1], depth) and ">" not in r.text
 
 
+@pytest.mark.parametrize("rare", [0, 1, 32])
+def test_op9_neither_first_nor_last_holder(spark, monkeypatch, rare):
+    monkeypatch.setattr(chat_format, "RARE", rare)
+    a, b = "The first thing to say.", "And the second one."
+    rows = [(1, 1, "u", a), (1, 2, "u", b), (1, 3, "u", f"{a}\nSome more words.\n{b}"), (1, 5, "u", a), (1, 6, "u", b), (1, 7, "u", f"> {a}\n> {b}\nI see.")]
+    out = {r.turn: (r.reply_to, r.quoted_words) for r in chat_format.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out[7] == (3, 9) and all(out[t] == (None, 0) for t in (1, 2, 3, 5, 6))
+
+
+def test_op9_messages_of_one_turn_are_rows_of_their_own(spark):
+    rows = [(1, 1, "u", "What I said."), (1, 2, "u", "> What I said.\nyes"), (1, 2, "v", "plain answer, no quote"), (1, 3, "u", "> yes\nfine")]
+    out = {(r.turn, r.role): (r.reply_to, r.thread, r.depth, r.quoted_words) for r in chat_format.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert out == {(1, "u"): (None, 1, 0, 0), (2, "u"): (1, 1, 1, 3), (2, "v"): (None, 2, 0, 0), (3, "u"): (2, 1, 2, 1)}
+
+
 def test_op9_passage_beats_its_lines(spark):
     rows = [(1, 1, "u", "A"), (1, 2, "u", "B"), (1, 5, "u", "A\nB"), (1, 6, "u", "> A\n> B\nyes"), (1, 7, "u", "A"), (1, 8, "u", ">A   b\nwrapped")]
     out = chat_format.linked(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
