@@ -34,7 +34,7 @@ from wayfold.llm.runs import whole_runs
 #: Fixed by the result contract: words of a phrase, least count, rows for each language.
 MAX_WORDS, MIN_COUNT, TOP = 5, 100, 2000
 #: A block is closed when it has so many words; characters of text for each bucket.
-BLOCK_WORDS, BUCKET_CHARS = 4_000_000, 16_000_000
+BLOCK_WORDS, BUCKET_CHARS = 1_500_000, 16_000_000
 _PIECE = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 #: Bits of a block's number within its partition, and of a name within its bucket.
 _SEQ_BITS, _NAME_BITS = 20, 36
