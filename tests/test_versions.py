@@ -4,7 +4,7 @@ import random
 from difflib import unified_diff
 
 from pyspark.sql import functions as F
-from wayfold.operators import versions
+from wayfold.operators import matching, versions
 
 
 def _texts(seed, n):
@@ -38,7 +38,7 @@ def test_narrow_is_a_unified_diff(spark):
 def test_line_blame_and_first_seen(spark):
     rows = [("f", 0, ["a", "b"]), ("f", 1, ["a", "x", "b "]), ("f", 2, ["x", "b", "a"]), ("g", 0, ["a"]), ("g", 1, None), ("g", 2, ["a"]), ("h", 0, ["a"]), ("h", 3, None)]
     df = spark.createDataFrame(rows, "p string, index int, lines array<string>")
-    blame = {(r.p, r.line_no): (r.line, r.origin) for r in versions.line_blame(df, ["p"]).collect()}
+    blame = {(r.p, r.line_no): (r.line, r.origin) for r in matching.blame(df, ["p"]).collect()}
     assert blame == {("f", 1): ("x", 1), ("f", 2): ("b", 0), ("f", 3): ("a", 2), ("g", 1): ("a", 2)}
     seen = {(r.p, r.line): r["index"] for r in versions.first_seen(df, ["p"]).collect()}
     assert seen == {("f", "a"): 0, ("f", "b"): 0, ("f", "x"): 1, ("g", "a"): 0, ("h", "a"): 0}

@@ -3,8 +3,9 @@ counts, one call a group, in Arrow batches."""
 
 from __future__ import annotations
 
-from itertools import product
-from math import comb
+from itertools import permutations, product
+from math import comb, factorial
+from operator import add
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -127,10 +128,30 @@ def mid_rank(value: str, by: list[str]) -> Column:
     return F.rank().over(order) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
-def p95_nearest(value: str) -> Column:
-    """Nearest-rank 95th percentile: place round(0.95 n) - 1 of the sorted values, not below the first."""
-    values = F.sort_array(F.collect_list(value))
-    return F.element_at(values, F.greatest(F.least(F.bround(0.95 * F.size(values)).cast("int"), F.size(values)), F.lit(1)))
+def nearest_rank(rows: DataFrame, by: list[str], value: str, share: float, name: str, parts: int = 64) -> DataFrame:
+    """(by, name): the value at place bround(share * n) of a group's sorted values, the first place at the least. Nulls do not count.
+
+    Values are counted first. Running counts go in two steps, over ranges of values and within the one range that holds the place, so that
+    no task has all of a group. The ranges come from approximate quantiles; where exactly they are cut does not change the result."""
+    of = F.struct(*by)  # a struct takes nulls as equal, and as a key of its own lets a hot group of the join be split
+    known = rows.where(F.col(value).isNotNull())
+    counts = known.groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n")).withColumn("_g", of)
+    cuts = known.groupBy(*by).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("_cuts")).select(of.alias("_of"), "_cuts")
+    placed = counts.join(cuts, F.col("_g") == F.col("_of")).withColumn("_range", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col("_v"))))
+    placed = placed.select("_g", "_v", "_n", "_range")
+    ranges = placed.groupBy("_g", "_range").agg(F.sum("_n").alias("_in"))
+    ranges = ranges.withColumns({"_upto": F.sum("_in").over(Window.partitionBy("_g").orderBy("_range")), "_all": F.sum("_in").over(Window.partitionBy("_g"))})
+    place = F.greatest(F.least(F.bround(share * F.col("_all")).cast("long"), F.col("_all")), F.lit(1))
+    holding = ranges.withColumn("_place", place).where((F.col("_upto") >= F.col("_place")) & (F.col("_upto") - F.col("_in") < F.col("_place")))
+    held = holding.select(F.struct("_g", "_range").alias("_held"), (F.col("_place") - F.col("_upto") + F.col("_in")).alias("_rest"))
+    inside = placed.join(held, F.struct("_g", "_range") == F.col("_held"))
+    inside = inside.withColumn("_to", F.sum("_n").over(Window.partitionBy("_g").orderBy("_v")))
+    return inside.where("_to >= _rest").groupBy("_g").agg(F.min("_v").alias(name)).select(*[F.col(f"_g.{c}") for c in by], name)
+
+
+def p95_nearest(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """(by, name): nearest-rank 95th percentile."""
+    return nearest_rank(rows, by, value, 0.95, name)
 
 
 def friedman(rows: DataFrame, block: str, arm: str, value: str) -> DataFrame:
@@ -141,6 +162,42 @@ def friedman(rows: DataFrame, block: str, arm: str, value: str) -> DataFrame:
     return per.agg(n.alias("blocks"), k.alias("arms"), F.round(12 / (n * k * (k + 1)) * F.sum(F.col("s") * F.col("s")) - 3 * n * (k + 1), 6).alias("chi2"))
 
 
+def friedman_exact(ranks: list[list[float]]) -> float:
+    """P of a statistic at least this large if all orders of a block's ranks are as likely: the distribution of the arms' rank sums, one block
+    after another. ranks: a list for each block, over the same arms. Ranks are doubled, so that ties are whole numbers."""
+    blocks = [tuple(round(2 * r) for r in b) for b in ranks]
+    arms = len(blocks[0])
+    spread = lambda sums: sum(x * x for x in sums)
+    seen = spread([sum(b[i] for b in blocks) for i in range(arms)])
+    # The arms are alike, so sums count by their sorted form only.
+    ways = {(0,) * arms: 1}
+    for b in blocks:
+        orders, more = list(permutations(b)), {}
+        for sums, n in ways.items():
+            for o in orders:
+                key = tuple(sorted(map(add, sums, o)))
+                more[key] = more.get(key, 0) + n
+        ways = more
+    return sum(n for sums, n in ways.items() if spread(sums) >= seen) / factorial(arms) ** len(blocks)
+
+
+def friedman_permuted(rows: DataFrame, by: list[str], block: str, arm: str, value: str, permutations: int, seed: int = 0) -> DataFrame:
+    """(by, p): seeded permutation p of Friedman's statistic, (1 + at least as large) / (1 + permutations).
+
+    Each permutation deals the ranks of each block out anew, by hashes of seed, permutation, block and arm; the same rows give the same p, however they
+    are partitioned. (by, block, arm) is unique and every block has all arms."""
+    ranked = rows.withColumn("_r", mid_rank(value, [*by, block]))
+    block_rows = ranked.groupBy(*by, block).agg(F.array_sort(F.collect_list(F.struct(F.col(arm).alias("a"), F.col("_r").alias("r")))).alias("_c"))
+    drawn = block_rows.select(*by, block, "_c", F.explode(F.sequence(F.lit(0), F.lit(permutations))).alias("_p"))
+    dealt = F.array_sort(F.transform("_c", lambda x, i: F.struct(F.xxhash64(F.lit(seed), F.col("_p"), F.col(block), x["a"]).alias("h"), i.alias("i"))))
+    order = F.when(F.col("_p") == 0, F.transform("_c", lambda x, i: i)).otherwise(F.transform(dealt, lambda x: x["i"]))
+    each = drawn.select(*by, "_p", F.posexplode(F.transform(order, lambda i: F.get("_c", i)["r"])).alias("_arm", "_r"))
+    sums = each.groupBy(*by, "_p", "_arm").agg(F.sum("_r").alias("_s")).groupBy(*by, "_p").agg(F.sum(F.col("_s") * F.col("_s")).alias("_q"))
+    seen = sums.where("_p = 0").select(F.struct(*by).alias("_of"), F.col("_q").alias("_seen"))
+    both = sums.where("_p > 0").join(seen, F.struct(*by) == F.col("_of"))
+    return both.groupBy(*by).agg(((1 + F.count_if(F.col("_q") >= F.col("_seen") - 1e-9)) / (1 + F.count("*"))).alias("p"))
+
+
 def bootstrap_mean(rows: DataFrame, by: list[str], value: str, resamples: int = 2000) -> DataFrame:
     """(by, low, high): 2.5 and 97.5 percentiles of means of resamples, by Poisson counts of each row.
 

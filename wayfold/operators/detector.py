@@ -14,11 +14,18 @@ from wayfold.plans.views import Tables, is_call, prompt_paths, step_flags
 
 #: Exit codes of a shell that was killed (fixed values).
 KILLED = (143, 144)
-#: Lines that show a crash (fixed values).
+#: Lines that show a crash (fixed values): an exception's line, which counts after a traceback only, and lines that count anywhere.
+TRACEBACK = "Traceback (most recent call last)"
+EXCEPTION = r"^(?:[\w.]+\.)?(\w*(?:Error|Exception|Exit)): "
 CRASH = (
-    r"(?dm)^(?!.*BrokenPipe)(?:[A-Za-z_][\w.]*(?:Error|Exception)|KeyboardInterrupt)\b.*|^\S+:\d+(?::\d+)?: (?:fatal )?error: .*"
-    r"|^.*Segmentation fault.*|^npm ERR! .*|^make(?:\[\d+\])?: \*\*\* .*"
+    r"^\s*(?:SyntaxError|IndentationError|TabError): |can't open file .*\[Errno 2\]|Segmentation fault|core dumped|^npm ERR! "
+    r"|^\S+:\d+:\d+: (?:fatal )?error: |^make(?:\[\d+\])?: \*\*\* "
 )
+#: The exception that is no crash, output cut off by its reader; what a probe for modules may say, and the statements of one (fixed values).
+NO_CRASH = "BrokenPipeError"
+PROBE_ANSWER = r"^(?:[\w.]+\.)?(?:ModuleNotFoundError|ImportError): "
+PROBE_CODE = r"python[\d.]*\s+-c\s+([\"'])(.*?)\1"
+PROBE_STATEMENT = r"^\s*(?:import\s+[\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*|from\s+[\w.]+\s+import\s+[\w\s,*()]+|print\([\w.,\s]*\)|)\s*$"
 KILL_BY_PATTERN = r"\b(?:pkill|pgrep)\s+(?:-[A-Za-z0-9]+\s+)*-\w*f\w*\s+(?:-[A-Za-z0-9]+\s+)*(?:\"([^\"]+)\"|'([^']+)'|([^\s;|&)]+))"
 REDIRECT = r"(?:^|[^0-9&>])>>?\s*(/[^\s;&|()\"']+)"
 
@@ -45,10 +52,28 @@ def self_kill(t: Tables) -> DataFrame:
     return _flag(rows.where("sought is not null"), "self_kill", None, F.col("sought"))
 
 
+def crash_lines(output: Column) -> Column:
+    """The lines of an output that show a crash, in order. A traceback without any exception's line is one itself; one whose only exception
+    is a broken pipe is none."""
+    lines = F.split(F.coalesce(output, F.lit("")), "\n", -1)
+    traced = F.coalesce(output.contains(TRACEBACK), F.lit(False))
+    raised = lambda x: x.rlike(EXCEPTION)
+    bare = traced & ~F.exists(lines, raised)
+    shows = lambda x: x.rlike(CRASH) | (traced & raised(x) & (F.regexp_extract(x, EXCEPTION, 1) != NO_CRASH)) | (bare & x.contains(TRACEBACK))
+    return F.transform(F.filter(lines, shows), lambda x: F.when(bare & x.contains(TRACEBACK), TRACEBACK).otherwise(F.btrim(x, F.lit(" \t\r\x0b\x0c"))))
+
+
+def _probes(command: Column) -> Column:
+    """Whether a command is Python code given in place that only imports modules and prints."""
+    code = F.regexp_extract(command, PROBE_CODE, 2)
+    return (code != "") & F.forall(F.split(code, "[;\n]", -1), lambda x: x.rlike(PROBE_STATEMENT))
+
+
 def masked_error(t: Tables) -> DataFrame:
-    """A call that exits 0 and shows a crash."""
-    rows = t["steps"].where((F.col("tool") == "Bash") & (exit_code() == 0)).withColumn("line", F.regexp_extract("output", CRASH, 0))
-    return _flag(rows.where("line <> ''"), "masked_error", None, F.left("line", F.lit(300)))
+    """A call that exits 0 and shows a crash; that a module is not there is the answer to a probe for it."""
+    shown = F.filter(crash_lines(F.col("output")), lambda x: ~(_probes(command()) & x.rlike(PROBE_ANSWER)))
+    rows = t["steps"].where((F.col("tool") == "Bash") & (exit_code() == 0)).withColumn("line", F.get(shown, F.lit(0)))
+    return _flag(rows.where("line is not null"), "masked_error", None, F.left("line", F.lit(300)))
 
 
 def silent_no_write(t: Tables) -> DataFrame:

@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 ROW_CAP, TIMEOUT_S = 200, 10.0
 #: Functions that run code or read the machine (fixed values), lower case.
 DENIED = ("reflect", "java_method", "try_reflect", "input_file_name", "raise_error", "assert_true", "sleep", "read_files")
-#: Formats that name a file where a table stands (fixed values), lower case.
-FILES = ("parquet", "json", "csv", "text", "orc", "avro", "binaryfile", "xml", "delta")
+#: What may stand before a table's name: the session's catalog and its databases. Anything else may be a format, or the class of one, before a file's name.
+CATALOG, FILES_ON = "spark_catalog", "spark.sql.runSQLOnFiles"
 #: Nodes of statements that are no queries, or that run a program.
 _OTHER = re.compile(r"Command|Insert|Create|Replace(?:Table|Columns)|Drop|Alter|Merge|Update|Delete|Truncate|ScriptTransformation")
 _LEAD = re.compile(r"(?:\s+|--[^\n]*(?:\n|$)|/\*.*?\*/)*", re.DOTALL)
@@ -35,6 +35,8 @@ def check(spark: SparkSession, sql: str) -> None:
         nodes = list(_nodes(json.loads(spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.rstrip().rstrip(";")).toJSON())))
     except Exception as error:
         raise Refused(f"not valid SQL: {str(error).strip().splitlines()[0][:200]}") from error
+    databases = [d.name.lower() for d in spark.catalog.listDatabases()] + [spark.conf.get("spark.sql.globalTempDatabase", "global_temp")]
+    qualifiers = [q for d in databases for q in ([d], [CATALOG, d])]
     for kind, name in nodes:
         if _OTHER.search(kind):
             raise Refused("only a SELECT or WITH query")
@@ -42,7 +44,7 @@ def check(spark: SparkSession, sql: str) -> None:
             raise Refused("names that are computed are not available")
         if "Function" in kind and name and name[-1].lower() in DENIED:
             raise Refused(f"function {name[-1].lower()} is not available")
-        if "Relation" in kind and len(name) > 1 and name[0].lower() in FILES:
+        if "Relation" in kind and len(name) > 1 and [x.lower() for x in name[:-1]] not in qualifiers:
             raise Refused("files are not available")
 
 
@@ -76,7 +78,7 @@ def run(spark: SparkSession, sql: str, cap: int = ROW_CAP, timeout_s: float = TI
     """At most `cap` rows of a checked query; jobs still running at the timeout are cancelled. Never raises."""
     began, group = time.monotonic(), f"guard-{uuid.uuid4().hex}"
     ms = lambda: int((time.monotonic() - began) * 1000)
-    late = threading.Event()
+    late, files = threading.Event(), spark.conf.get(FILES_ON, None)
 
     def stop() -> None:
         late.set()
@@ -85,6 +87,7 @@ def run(spark: SparkSession, sql: str, cap: int = ROW_CAP, timeout_s: float = TI
     timer = threading.Timer(timeout_s, stop)
     try:
         check(spark, sql)
+        spark.conf.set(FILES_ON, "false")
         spark.sparkContext.addJobTag(group)
         timer.start()
         # One more than the cap tells that there are more; the rest is never counted.
@@ -95,6 +98,7 @@ def run(spark: SparkSession, sql: str, cap: int = ROW_CAP, timeout_s: float = TI
     except Exception as error:
         return Outcome(None, False, f"timed out after {timeout_s:g} s" if late.is_set() else str(error).strip().splitlines()[0], ms())
     finally:
+        spark.conf.unset(FILES_ON) if files is None else spark.conf.set(FILES_ON, files)
         timer.cancel()
         spark.sparkContext.removeJobTag(group)
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,10 @@ def shared_folder(spark: SparkSession) -> str:
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """As checkpointed(), through Parquet: for loops, where what a plan knows of its columns would grow with each checkpoint."""
+    at = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)

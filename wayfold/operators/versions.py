@@ -1,4 +1,4 @@
-"""Versions of files: line blame, hunks, reverts, stale diffs, excluded paths, transcripts, labels as rows."""
+"""Versions of files: hunks, reverts, stale diffs, excluded paths, transcripts, labels as rows."""
 
 from __future__ import annotations
 
@@ -21,32 +21,6 @@ def normal_line(line: Column) -> Column:
     return F.rtrim(line)
 
 
-def line_blame(versions: DataFrame, by: Sequence[str], index: str = "index", lines: str = "lines") -> DataFrame:
-    """(by, line_no, line, origin) of the last version of each file: the index that brought each line.
-
-    `lines` is an array, null where the file is absent. A file's versions depend on each other in turn, so one
-    file is one group; files without lines at the end give no rows."""
-    kinds = dict(versions.dtypes)
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        origin: list = []
-        before: list[str] | None = None
-        for at, now in rows.sort_values(index)[[index, lines]].itertuples(index=False):
-            now = None if now is None else list(now)
-            new = [at] * len(now or [])
-            if now is not None and before is not None:
-                match = SequenceMatcher(None, [x.rstrip() for x in before], [x.rstrip() for x in now], autojunk=False)
-                for i, j, n in match.get_matching_blocks():
-                    new[j : j + n] = origin[i : i + n]
-            origin, before = new, now
-        n = len(origin)
-        columns = {**{c: [rows[c].iat[0]] * n for c in by}, "line_no": range(1, n + 1), "line": before or [], "origin": origin}
-        return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in columns.items()})
-
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in by), "line_no int", "line string", f"origin {kinds[index]}"])
-    return versions.select(*by, index, lines).groupBy(*by).applyInPandas(run, schema)
-
-
 def first_seen(versions: DataFrame, by: Sequence[str], index: str = "index", lines: str = "lines") -> DataFrame:
     """(by, line, index): the first version that holds each line, moved and restored lines included."""
     each = versions.select(*by, index, F.explode(lines).alias("line")).withColumn("line", normal_line(F.col("line")))

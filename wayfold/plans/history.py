@@ -46,12 +46,6 @@ def blame_first_seen(spark, d):
     return versions.first_seen(docs, ["source"], "doc_id")
 
 
-@query("line_blame")
-def line_blame(spark, d):
-    rows = read(spark, d, "conversations").select("conv_id", "role", "turn", F.split("text", r"(?<=[.?!]) ", -1).alias("lines"))
-    return versions.line_blame(rows, ["conv_id", "role"], "turn")
-
-
 @query("hunk_versions", """with h as (select doc_id, string_split(text, chr(10)) as r from documents where text is not null)
 select doc_id, list_aggregate(list_filter(list_transform(r, lambda x, i: case when i % 3 <> 0 then x || chr(10) end), lambda x: x is not null), 'string_agg', '') as before,
   list_aggregate(list_filter(list_transform(r, lambda x, i: case when i % 3 <> 2 then x || chr(10) end), lambda x: x is not null), 'string_agg', '') as after from h where len(r) >= 3""")

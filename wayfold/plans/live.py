@@ -11,8 +11,15 @@ from wayfold.plans.catalog import _CALL, _sql, on_model
 from wayfold.plans.general import query
 from wayfold.streaming import operators as live
 
-on_model("detect_masked_error", detector.masked_error)
-on_model("detect_self_kill", detector.self_kill)
+#: The code an output tells, as SQL.
+_EXIT = r"coalesce(nullif(regexp_extract(output, '(?m)^\[exit_code\] (-?\d+)', 1), '')::int, nullif(regexp_extract(output, '(?m)^Exit code (-?\d+)', 1), '')::int, case when not coalesce(is_error, false) then 0 end)"
+_MASKED = rf"""select trial_id, step_idx, 'masked_error' as pattern, null::varchar as subtype, left(trim(case when bare and contains(l, '{detector.TRACEBACK}') then '{detector.TRACEBACK}' else l end), 300) as detail
+from (select *, list_filter(string_split(coalesce(output, ''), chr(10)), lambda x: regexp_matches(x, {_sql(detector.CRASH)}) or (traced and regexp_extract(x, {_sql(detector.EXCEPTION)}, 1) not in ('', '{detector.NO_CRASH}')) or (bare and contains(x, '{detector.TRACEBACK}')))[1] as l
+  from (select *, contains(output, '{detector.TRACEBACK}') as traced, contains(output, '{detector.TRACEBACK}') and not regexp_matches(output, {_sql("(?m)" + detector.EXCEPTION)}) as bare from steps where tool = 'Bash' and {_EXIT} = 0) s) s where l is not null"""
+_KILLED = rf"""select trial_id, step_idx, 'self_kill' as pattern, null::varchar as subtype, coalesce(nullif(m.a, ''), nullif(m.b, ''), nullif(m.c, '')) as detail
+from (select *, regexp_extract(json_extract_string(args_json, '$.command'), {_sql(detector.KILL_BY_PATTERN)}, ['a', 'b', 'c']) as m from steps where tool = 'Bash' and {_EXIT} in (143, 144)) s where coalesce(nullif(m.a, ''), nullif(m.b, ''), nullif(m.c, '')) is not null"""
+on_model("detect_masked_error", detector.masked_error, _MASKED)
+on_model("detect_self_kill", detector.self_kill, _KILLED)
 on_model("detect_silent_no_write", detector.silent_no_write, rf"""select trial_id, step_idx, 'silent_no_write' as pattern, case when tool = 'Bash' then 'quiet' else 'tool' end as subtype, p as detail
 from (select *, case when tool in ('Write', 'Edit') then [json_extract_string(args_json, '$.file_path')] else list_distinct(regexp_extract_all(coalesce(json_extract_string(args_json, '$.command'), ''), '(?:^|[^0-9&>])>>?\s*(/[^\s;&|()"'']+)', 1)) end as ps from steps
   where {_CALL} and not is_error and not regexp_matches(coalesce(json_extract_string(args_json, '$.command'), ''), {_sql(P.JOB_LAUNCH)}) and not regexp_matches(output, {_sql(P.BACKGROUNDED)})) s, unnest(ps) as u(p)

@@ -1,7 +1,7 @@
 """The record tables made from the event tables of a scale-factor folder, and the same as SQL.
 
 One user of `events` is one trial; its events in time order are its calls. Signups and purchases change
-files, clicks start jobs in the background, errors fail. The last step is a message of the agent."""
+files, clicks start jobs in the background, errors fail, are killed or are rejected, and some views show a crash. The last step is a message of the agent."""
 
 from __future__ import annotations
 
@@ -42,9 +42,13 @@ def steps(e: DataFrame) -> DataFrame:
     command = (
         F.when(kind == "view", F.when(F.col("k") % 3 == 0, F.concat(F.lit("pytest -q /k/"), F.col("k") % 10)).otherwise(F.concat(F.lit("cat /k/"), F.col("k") % 10, F.lit(".py"))))
         .when(kind == "click", F.concat(F.lit("python run.py > "), path, F.when(F.col("k") % 2 == 0, " &").otherwise("")))
+        .when((kind == "error") & (F.col("k") % 5 == 0), "pkill -f run.py; python run.py")
         .when(kind == "error", F.concat(F.lit("make test-"), F.col("k") % 5))
     )
-    output = F.when(kind == "error", F.lit("Exit code 1\nboom")).when((kind == "click") & (F.col("k") % 4 == 1), F.concat(F.lit("Command running in background with ID: b"), "event_id")).otherwise("ok")
+    trace = F.concat(F.lit("start\nTraceback (most recent call last):\n  File \"x.py\", line 1\n"), F.when(F.col("k") % 2 == 0, "BrokenPipeError: pipe").otherwise(F.concat(F.lit("ValueError: bad "), "k")))
+    output = F.when((kind == "error") & (F.col("k") % 5 == 0), F.lit("Exit code 144\nkilled")).when((kind == "error") & (F.col("k") % 5 == 1), F.lit("<tool_use_error>no such file"))
+    output = output.when((kind == "view") & (F.col("k") % 11 == 4), trace).when((kind == "view") & (F.col("k") % 11 == 5), F.concat(F.lit("a.c:3:"), "k", F.lit(": error: x\n")))
+    output = output.when(kind == "error", F.lit("Exit code 1\nboom")).when((kind == "click") & (F.col("k") % 4 == 1), F.concat(F.lit("Command running in background with ID: b"), "event_id")).otherwise("ok")
     argument = F.when(command.isNotNull(), F.concat(F.lit('{"command": "'), command, F.lit('"}'))).otherwise(F.concat(F.lit('{"file_path": "'), path, F.lit('"}')))
     calls = e.select(
         "trial_id", "step_idx", F.lit("agent").alias("source"), F.concat(F.lit("c"), "event_id").alias("tool_call_id"), tool.alias("tool"), argument.alias("args_json"),
@@ -119,10 +123,13 @@ SQL = r"""ev as (select user_id::varchar as trial_id, (row_number() over (partit
 evp as (select *, '/k/' || (k % 10) || case when k % 7 = 0 then '/__pycache__/a.pyc' else '.py' end as path, floor(value * 1000000)::bigint as micros,
   case event_type when 'view' then case when k % 3 = 0 then 'pytest -q /k/' || (k % 10) else 'cat /k/' || (k % 10) || '.py' end
     when 'click' then 'python run.py > /k/' || (k % 10) || case when k % 7 = 0 then '/__pycache__/a.pyc' else '.py' end || case when k % 2 = 0 then ' &' else '' end
-    when 'error' then 'make test-' || (k % 5) end as command from ev),
+    when 'error' then case when k % 5 = 0 then 'pkill -f run.py; python run.py' else 'make test-' || (k % 5) end end as command from ev),
 steps as (select trial_id, step_idx, 'agent' as source, 'c' || event_id as tool_call_id, case event_type when 'signup' then 'Write' when 'purchase' then 'Edit' else 'Bash' end as tool,
   case when command is not null then '{"command": "' || command || '"}' else '{"file_path": "' || path || '"}' end as args_json,
-  case when event_type = 'error' then 'Exit code 1' || chr(10) || 'boom' when event_type = 'click' and k % 4 = 1 then 'Command running in background with ID: b' || event_id else 'ok' end as output,
+  case when event_type = 'error' and k % 5 = 0 then 'Exit code 144' || chr(10) || 'killed' when event_type = 'error' and k % 5 = 1 then '<tool_use_error>no such file'
+    when event_type = 'view' and k % 11 = 4 then 'start' || chr(10) || 'Traceback (most recent call last):' || chr(10) || '  File "x.py", line 1' || chr(10) || case when k % 2 = 0 then 'BrokenPipeError: pipe' else 'ValueError: bad ' || k end
+    when event_type = 'view' and k % 11 = 5 then 'a.c:3:' || k || ': error: x' || chr(10)
+    when event_type = 'error' then 'Exit code 1' || chr(10) || 'boom' when event_type = 'click' and k % 4 = 1 then 'Command running in background with ID: b' || event_id else 'ok' end as output,
   event_type = 'error' as is_error, ts as t_start, ts + to_microseconds(micros) as t_end, ts + to_microseconds(micros + 3000000) as checkpoint_at, command as command_shell, null as message from evp
   union all select trial_id, max(step_idx) + 1, 'agent', null, null, null, null, null, null, null, null, null,
   case trial_id::int % 3 when 0 then 'All tests pass, done.' when 1 then 'It does not work.' else 'Looking around' end from evp group by trial_id),
