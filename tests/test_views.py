@@ -180,9 +180,9 @@ def test_questions_in_full(spark):
 
     sf = "/root/testdata/sf0.001"
     t = adapter.model(spark, sf)
-    calls = catalog.QUERIES["q4_calls_whole"](spark, sf)
+    calls = catalog.QUERIES["q4_calls"](spark, sf)
     assert calls.count() == views.step_flags(t).where("is_tool_call").count()
     assert calls.where("not has_error_marker").count() > 0
-    diffs = catalog.QUERIES["q3b_diffs_whole"](spark, sf)
+    diffs = catalog.QUERIES["q3b_diffs"](spark, sf)
     assert diffs.count() == views.delta_flags(t).where("not is_cache").join(t["deltas"].where("hunk is not null"), ["trial_id", "step_idx", "path"]).count()
     assert diffs.where("op <> 'add'").count() > 0

@@ -21,11 +21,11 @@ def last_usage(events: DataFrame, by: Sequence[str], message: str, order: Sequen
     return sums.withColumn("cost", F.round(cost / 1e6, 4))
 
 
-def call_totals(calls: DataFrame, by: Sequence[str], tool: str, seconds: Column, size: Column) -> DataFrame:
+def call_totals(calls: DataFrame, by: Sequence[str], tool: str, seconds: Column, size: Column, digits: int = 1) -> DataFrame:
     """(by, tools, calls, seconds, bytes, largest): a map of calls by tool, and the sums over all calls."""
     per = calls.groupBy(*by, F.coalesce(F.col(tool), F.lit("?")).alias("t")).agg(F.count("*").alias("n"), F.sum(seconds).alias("s"), F.sum(size).alias("b"), F.max(size).alias("m"))
     tools = F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "n"))))
-    return per.groupBy(*by).agg(tools.alias("tools"), F.sum("n").alias("calls"), F.round(F.sum("s"), 1).alias("seconds"), F.sum("b").alias("bytes"), F.max("m").alias("largest"))
+    return per.groupBy(*by).agg(tools.alias("tools"), F.sum("n").alias("calls"), F.round(F.sum("s"), digits).alias("seconds"), F.sum("b").alias("bytes"), F.max("m").alias("largest"))
 
 
 def flag_prefixes(rows: DataFrame, flags: str) -> DataFrame:

@@ -53,8 +53,8 @@ def usage_report(spark, d):
 
 on_model(
     "trial_numbers",
-    lambda t: reports.call_totals(t["steps"].where("tool is not null"), ["trial_id"], "tool", (F.unix_micros("t_end") - F.unix_micros("t_start")) / 1e6, F.length("output").cast("long")).withColumn("tools", F.to_json("tools")),
-    """select trial_id, '{' || string_agg('"' || tool || '":' || n, ',' order by tool) || '}' as tools, sum(n)::bigint as calls, round(sum(s), 1) as seconds, sum(b)::bigint as bytes, max(m) as largest
+    lambda t: reports.call_totals(t["steps"].where("tool is not null"), ["trial_id"], "tool", (F.unix_micros("t_end") - F.unix_micros("t_start")) / 1e6, F.length("output").cast("long"), digits=6).withColumn("tools", F.to_json("tools")),
+    """select trial_id, '{' || string_agg('"' || tool || '":' || n, ',' order by tool) || '}' as tools, sum(n)::bigint as calls, round(sum(s), 6) as seconds, sum(b)::bigint as bytes, max(m) as largest
 from (select trial_id, tool, count(*) as n, sum((epoch_us(t_end) - epoch_us(t_start)) / 1e6) as s, sum(length(output)) as b, max(length(output)) as m from steps where tool is not null group by all) group by 1""")
 
 
