@@ -387,3 +387,14 @@ def test_guard_takes_tables_of_the_session(spark):
     spark.sql("create table guarded_table using parquet as select 1 as x")
     for name in ("guarded", "guarded_table", "default.guarded_table", "spark_catalog.default.guarded_table", "DEFAULT.guarded_table"):
         assert guard.run(spark, f"select count(*) as n from {name}").error is None
+
+
+def test_bootstrap_does_not_depend_on_partitions(spark):
+    draw = random.Random(3)
+    values = [float(draw.randrange(20)) for _ in range(400)]
+    df = spark.createDataFrame([("g", v) for v in values], "g string, v double")
+    got = [stats.bootstrap_mean(df.repartition(n), ["g"], "v", 300).first() for n in (1, 6)]
+    assert got[0] == got[1]
+    mean = sum(values) / len(values)
+    sd = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5 / len(values) ** 0.5
+    assert got[0].low == pytest.approx(mean - 1.96 * sd, abs=0.35 * sd) and got[0].high == pytest.approx(mean + 1.96 * sd, abs=0.35 * sd)

@@ -201,16 +201,17 @@ def friedman_permuted(rows: DataFrame, by: list[str], block: str, arm: str, valu
 def bootstrap_mean(rows: DataFrame, by: list[str], value: str, resamples: int = 2000) -> DataFrame:
     """(by, low, high): 2.5 and 97.5 percentiles of means of resamples, by Poisson counts of each row.
 
-    Each row draws its own counts from its hash, so nothing is gathered and reruns agree."""
-    one = F.monotonically_increasing_id()
-    drawn = rows.select(*by, value, F.xxhash64(*rows.columns, one).alias("_h"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b"))
+    A row draws its counts from a hash of its group, its value and its number among equal ones, so nothing is gathered, and the result does not depend
+    on partitioning. Counts above 16 have odds under 1e-14 and are not drawn."""
+    equal = rows.groupBy(*by, value).agg(F.count("*").alias("_m"))
+    each = equal.select(*by, value, F.explode(F.sequence(F.lit(1), F.col("_m"))).alias("_i"))
+    drawn = each.select(*by, value, F.xxhash64(*by, value, "_i").alias("_h"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b"))
     u = F.xxhash64("_h", "_b") / F.lit(2.0**64) + 0.5
     edges, total, term = [], 0.0, 2.718281828459045**-1
-    for k in range(8):
+    for k in range(16):
         total += term
         edges.append(total)
         term /= k + 1
     count = sum((F.when(u > e, 1).otherwise(0) for e in edges), F.lit(0))
     means = drawn.withColumn("_c", count).groupBy(*by, "_b").agg(F.try_divide(F.sum(F.col("_c") * F.col(value)), F.sum("_c")).alias("_m"))
     return means.groupBy(*by).agg(F.percentile("_m", 0.025).alias("low"), F.percentile("_m", 0.975).alias("high"))
-
