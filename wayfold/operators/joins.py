@@ -28,17 +28,13 @@ def interval(points: DataFrame, spans: DataFrame, by: Sequence[str], at: str, st
     """Points (`at`, a number) with the spans (`start`, `end`) that hold them, per `by`.
 
     Spans are laid on cells of `width`, so that the join is on equal (by, cell): a long stream of points is
-    spread over its cells and meets only the spans that touch them. An open end is null."""
-    last = spans.agg(F.max(end), F.max(start)).first()
-    far = max([x for x in last if x is not None], default=0)
-    top = points.agg(F.max(at)).first()[0]
-    far = max(far, top if top is not None else 0)
+    spread over its cells and meets only the spans that touch them. An open end is null; open spans lie on no cells, as they hold every later
+    point of their `by`. Spans that end before they start hold none."""
     cell = lambda c: F.floor(F.col(c) / width).cast("long")
-    stop = F.coalesce(F.col(end), F.lit(far))
-    laid = spans.withColumn("_cell", F.explode(F.when(stop >= F.col(start), F.sequence(cell(start), F.floor(stop / width).cast("long")))))
     begins = F.col(at) >= F.col(start) if closed_start else F.col(at) > F.col(start)
-    rows = points.withColumn("_cell", cell(at)).join(laid, [*by, "_cell"])
-    return rows.where(begins & (F.col(end).isNull() | (F.col(at) <= F.col(end)))).drop("_cell")
+    laid = spans.where(F.col(end) >= F.col(start)).withColumn("_cell", F.explode(F.sequence(cell(start), cell(end))))
+    closed = points.withColumn("_cell", cell(at)).join(laid, [*by, "_cell"]).where(begins & (F.col(at) <= F.col(end))).drop("_cell")
+    return closed.unionByName(points.join(spans.where(F.col(end).isNull()), list(by)).where(begins))
 
 
 def in_one_span(points: DataFrame, spans: DataFrame, by: Sequence[str], key: Sequence[str], at: str, start: str, end: str, width: int, name: str) -> DataFrame:

@@ -55,14 +55,18 @@ def is_text(content: str = "content"):
     return (F.length(c) <= TEXT_BYTES) & F.try_validate_utf8(c.cast("string")).isNotNull() & ~F.contains(c, F.lit(bytearray(b"\0")))
 
 
+#: How events are mapped, the surest first (fixed values).
+SUREST = ("command", "session", "tool_window", "start_time")
+
+
 def write_rows(deltas: DataFrame, events: DataFrame) -> DataFrame:
     """(trial_id, step_idx, path, writer_step, mapped_by, events, ops, first_at, last_at, via_dir).
 
-    deltas: trial_id, step_idx, path, op, since (exclusive), upto. events: trial_id, path, at, op, is_dir, writer_step,
+    deltas: trial_id, step_idx, path, op, since (exclusive; null: from the beginning), upto. events: trial_id, path, at, op, is_dir, writer_step,
     mapped_by. Events on the path within the interval; without any, those of the nearest directory above that
     carried the path along (moved in for an add or modify, deleted for a delete)."""
     key = ["trial_id", "step_idx", "path"]
-    inside = (F.col("at") > F.col("since")) & (F.col("at") <= F.col("upto"))
+    inside = F.coalesce(F.col("at") > F.col("since"), F.lit(True)) & (F.col("at") <= F.col("upto"))
     facts = ["at", "event_op", "writer_step", "mapped_by"]
     e = events.withColumnRenamed("op", "event_op")
     direct = deltas.join(e.select("trial_id", "path", *facts), ["trial_id", "path"]).where(inside).withColumn("via_dir", F.lit(None).cast("string"))
@@ -75,5 +79,5 @@ def write_rows(deltas: DataFrame, events: DataFrame) -> DataFrame:
     carried = met.join(near, key).where(F.col("_up.depth") == F.col("_least")).select(*direct.columns)
     rows = direct.unionByName(carried)
     return rows.groupBy(*key, "writer_step").agg(
-        F.min("mapped_by").alias("mapped_by"), F.count("*").cast("int").alias("events"), F.sort_array(F.collect_set("event_op")).alias("ops"),
+        F.min_by("mapped_by", F.array_position(F.array(*map(F.lit, SUREST)), F.col("mapped_by"))).alias("mapped_by"), F.count("*").cast("int").alias("events"), F.sort_array(F.collect_set("event_op")).alias("ops"),
         F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.min("via_dir").alias("via_dir"))
