@@ -4,7 +4,7 @@ import math
 
 import __spark_entry__ as entry
 import pytest
-from wayfold.plans import catalog, general, history, live, rebuild, records, reports, writers  # noqa: F401
+from wayfold.plans import catalog, general, history, live, rebuild, records, reports, traces, writers  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
