@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wayfold.functions import patterns
 from wayfold.operators.joins import asof, in_one_span, interval
+from wayfold.operators.lineage import written
 
 #: Microseconds by which a window may be missed (fixed value).
 SLACK = 1_000_000
@@ -92,10 +93,10 @@ def attributed(events: DataFrame, steps: DataFrame) -> DataFrame:
     not the container's own), shell (struct of pid, started_at, command_sha256; null for none). steps: trial_id, step_idx, tool, command,
     t_start, t_end. Times are microseconds. Rules in order: the shell's command; the one Bash step in whose window the shell began; both
     again for the session's shell; for the agent's own process without a shell the one writing tool that was at work; for other processes
-    the one Bash step in whose window the outermost process began."""
+    the one Bash step in whose window the outermost process began. Both tables are read several times; what is found for shells is written once."""
     bash, writing = F.col("tool") == "Bash", F.col("tool").isin(*patterns.WRITE_TOOLS)
     shells = events.where("shell is not null").select("trial_id", "shell.pid", "shell.started_at", "shell.command_sha256").distinct()
-    found = _with(by_command(shells, steps), by_start(shells, steps, _SHELL, "started_at", "start_step", bash), _SHELL, ["start_step"])
+    found = written(_with(by_command(shells, steps), by_start(shells, steps, _SHELL, "started_at", "start_step", bash), _SHELL, ["start_step"]))
     own = events.where("shell is not null").select("trial_id", "event_id", "shell.pid", "shell.started_at", "shell.command_sha256")
 
     def of(rows: DataFrame, command: str, start: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.operators import reconcile, writers
+from wayfold.operators.lineage import written
 from wayfold.plans.catalog import on_model
 
 
@@ -43,7 +44,7 @@ att as (select trial_id, event_id, m, coalesce(r1, r2, r3, r4, r5, r6)::int as w
 
 
 def write_events(t) -> DataFrame:
-    steps = _steps(t)
+    steps = written(_steps(t))
     return writers.attributed(_events(steps), steps)
 
 
