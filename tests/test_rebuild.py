@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -323,6 +324,11 @@ def test_facts_and_their_sources(spark):
     calls = [("r", 1, "--alpha", "see --beta", True), ("r", 2, "--beta --gamma --given", "--gamma", False), ("r", 3, "--gamma --delta", "--delta", True), ("r", 4, "--delta", None, False)]
     out = provenance.sources(spark.createDataFrame(calls, "run string, n int, text string, result string, is_record boolean"), spark.createDataFrame([("r", "--given")], "run string, text string"))
     assert {(r.token, r.n, r.source) for r in out.collect()} == {("--alpha", 1, "unsourced"), ("--beta", 2, "record"), ("--gamma", 2, "unsourced"), ("--given", 2, "given"), ("--delta", 3, "unsourced")}
+    # A long text: its patterns run once, not once a fact.
+    many = [f"--w{''.join(chr(97 + int(x)) for x in str(i))}" for i in range(4_000)]
+    began = time.perf_counter()
+    got = spark.createDataFrame([(" ".join(many * 2),)], "t string").select(provenance.facts(F.col("t")).alias("f")).first().f
+    assert [tuple(x) for x in got] == [(x, "flag") for x in many] and time.perf_counter() - began < 10
     line = "a line of the record"
     calls = [("r", 1, None, line + "\nanother long line\nthe third long line", True), ("r", 2, "another long line", "the third long line", False), ("r", 3, line + "\nthe third long line\n" + line, None, False), ("r", 4, line, None, False)]
     out = provenance.record_lines(spark.createDataFrame(calls, "run string, n int, text string, result string, is_record boolean"), spark.createDataFrame([("r", "x")], "run string, text string"))

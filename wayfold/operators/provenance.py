@@ -18,12 +18,17 @@ MIN_LINE = 12
 
 
 def facts(text: Column) -> Column:
-    """Array of (token, kind), each token once, under the first kind that has it."""
-    def of(kind: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(0)), lambda t: F.struct(t.alias("token"), F.lit(kind).alias("kind")))
+    """Array of (token, kind), each token once, under the first kind that has it. Linear in the text."""
+    found = [F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(p), F.lit(0)) for p in FACTS.values()]
 
-    every = F.array_distinct(F.concat(*[of(k, p) for k, p in FACTS.items()]))
-    return F.filter(every, lambda x, i: ~F.exists(F.slice(every, F.lit(1), i), lambda y: y["token"] == x["token"]))
+    def of(kind: str, tokens: Column) -> Column:
+        return F.transform(F.array_distinct(tokens), lambda t: F.struct(t.alias("token"), F.lit(kind).alias("kind")))
+
+    # As a variable of a lambda the arrays are made once; written out, every mention of them would run the patterns again.
+    def each(kinds: Column) -> Column:
+        return F.concat(*[of(kind, F.array_except(kinds.getItem(i), F.flatten(F.slice(kinds, 1, i))) if i else kinds.getItem(i)) for i, kind in enumerate(FACTS)])
+
+    return F.flatten(F.transform(F.array(F.array(*found)), each))
 
 
 def lines(text: Column) -> Column:
