@@ -227,3 +227,18 @@ def test_timelines_take_in_every_line(spark):
     checks = general.QUERIES["check_classify"](spark, sf).count()
     assert checks == lines.select("l_suppkey", "l_linenumber").distinct().count()
     assert not any("l_quantity" in general.ORACLE[n] for n in ("check_classify", "status_marks", "stat_quorum_verdict", "plan_replays"))
+
+
+def test_dearest_of_equal_prices_is_the_first_in_the_table(spark, tmp_path):
+    import duckdb
+
+    from wayfold.plans import catalog, general  # noqa: F401
+
+    (tmp_path / "lineitem.parquet").mkdir()
+    con = duckdb.connect()
+    for part, keys in enumerate(([None, 7, 3], [9, 1])):
+        values = ", ".join(f"({k or 'null'}::bigint, {5 if k else 8}.0::double, {part}::bigint)" for k in keys)
+        con.execute(f"copy (select 'A' as l_returnflag, * , 1.0::double as l_quantity, 0.06::double as l_discount, 0.1::double as l_tax, 1 as l_linenumber from (values {values}) v(l_partkey, l_extendedprice, l_suppkey)) to '{tmp_path}/lineitem.parquet/{part}.parquet' (format parquet)")
+    con.execute(f"create view lineitem as from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = catalog.QUERIES["agg_filtered"](spark, str(tmp_path))
+    assert rows(got, "l_returnflag", "n", "suppliers", "dearest") == [("A", 5, 2, 7)] == [(r[0], r[1], r[3], r[4]) for r in con.execute(catalog.ORACLE["agg_filtered"]).fetchall()]

@@ -133,10 +133,15 @@ def star(spark, d):
 # Aggregates.
 @query("agg_filtered", "select l_returnflag, count(*) as n, count(*) filter (where l_quantity > 25) as large, count(distinct l_suppkey) filter (where l_discount > 0.05) as suppliers, arg_max(l_partkey, l_extendedprice) as dearest, bool_or(l_tax > 0.07) as taxed, greatest(max(l_quantity), max(l_linenumber)) as top from lineitem group by 1")
 def agg_filtered(spark, d):
-    f = F.col
-    return read(spark, d, "lineitem").groupBy("l_returnflag").agg(
+    """Of lines of one price the dearest is the first in the table, by file and row."""
+    f, lines = F.col, read(spark, d, "lineitem")
+    out = lines.groupBy("l_returnflag").agg(
         F.count("*").alias("n"), F.count_if(f("l_quantity") > 25).alias("large"), F.countDistinct(F.when(f("l_discount") > 0.05, f("l_suppkey"))).alias("suppliers"),
-        F.max_by("l_partkey", "l_extendedprice").alias("dearest"), F.bool_or(f("l_tax") > 0.07).alias("taxed"), F.greatest(F.max("l_quantity"), F.max("l_linenumber")).alias("top"))
+        F.max(F.when(f("l_partkey").isNotNull(), f("l_extendedprice"))).alias("_price"), F.bool_or(f("l_tax") > 0.07).alias("taxed"), F.greatest(F.max("l_quantity"), F.max("l_linenumber")).alias("top"))
+    placed = lines.where("l_partkey is not null").select(f("l_returnflag").alias("_flag"), "l_partkey", f("l_extendedprice").alias("_of"), F.struct("_metadata.file_path", "_metadata.row_index").alias("_at"))
+    price = out.select(f("l_returnflag").alias("_group"), "_price")
+    first = placed.join(F.broadcast(price), f("_flag").eqNullSafe(f("_group")) & (f("_of") == f("_price"))).groupBy("_flag").agg(F.min_by("l_partkey", "_at").alias("dearest"))
+    return out.join(first, f("l_returnflag").eqNullSafe(f("_flag")), "left").select("l_returnflag", "n", "large", "suppliers", "dearest", "taxed", "top")
 
 
 @query("agg_quantiles", "select o_orderpriority, round(median(o_totalprice), 4) as median, round(quantile_cont(o_totalprice, 0.25), 4) as q1, round(quantile_cont(o_totalprice, 0.75), 4) as q3, round(exp(avg(ln(o_totalprice))), 4) as geomean from orders group by 1")
