@@ -242,3 +242,15 @@ def test_dearest_of_equal_prices_is_the_first_in_the_table(spark, tmp_path):
     con.execute(f"create view lineitem as from '{tmp_path}/lineitem.parquet/*.parquet'")
     got = catalog.QUERIES["agg_filtered"](spark, str(tmp_path))
     assert rows(got, "l_returnflag", "n", "suppliers", "dearest") == [("A", 5, 2, 7)] == [(r[0], r[1], r[3], r[4]) for r in con.execute(catalog.ORACLE["agg_filtered"]).fetchall()]
+
+
+def test_idle_seconds_are_summed_exactly(spark):
+    """Four waits of 1,985.5 s in all: as doubles they sum to less than the half second in any order."""
+    import datetime as dt
+
+    from wayfold.plans import rules
+
+    start = dt.datetime(2026, 1, 1)
+    calls = [("a", i, "Bash", start, start + dt.timedelta(microseconds=n * 10_000)) for i, n in enumerate((52029, 35234, 54256, 57031))]
+    t = {"steps": spark.createDataFrame(calls, "trial_id string, step_idx int, tool string, t_start timestamp, t_end timestamp"), "deltas": spark.createDataFrame([], "trial_id string, step_idx int")}
+    assert rows(rules.idle_seconds(t)) == [("a", 1986)]
