@@ -254,3 +254,13 @@ def test_idle_seconds_are_summed_exactly(spark):
     calls = [("a", i, "Bash", start, start + dt.timedelta(microseconds=n * 10_000)) for i, n in enumerate((52029, 35234, 54256, 57031))]
     t = {"steps": spark.createDataFrame(calls, "trial_id string, step_idx int, tool string, t_start timestamp, t_end timestamp"), "deltas": spark.createDataFrame([], "trial_id string, step_idx int")}
     assert rows(rules.idle_seconds(t)) == [("a", 1986)]
+
+
+def test_samples_are_dealt_by_the_rows_of_the_table(spark, monkeypatch):
+    from wayfold.plans import general
+
+    at = "/root/testdata/sf0.001"
+    few = rows(general.quorum(spark, at))
+    monkeypatch.setattr(general, "PART_ROWS", 100)
+    assert general._samples(spark, at).rdd.getNumPartitions() == spark.read.parquet(f"{at}/lineitem.parquet").count() // 100
+    assert rows(general.quorum(spark, at)) == few

@@ -15,13 +15,13 @@ def verdicts(samples: DataFrame, by: list[str]) -> DataFrame:
     """(by, state, check, status, samples) from rows (by, state, sample, check, status): one status if all samples
     of a state agree, flaky if not, unknown if no sample says, absent for a check the samples leave out."""
     said = samples.groupBy(*by, "state", "check").agg(
-        F.countDistinct("status").alias("kinds"), F.min("status").alias("status"), F.countDistinct("sample").alias("samples"))
+        (F.min("status") != F.max("status")).alias("mixed"), F.min("status").alias("status"), F.countDistinct("sample").alias("samples"))
     states = samples.groupBy(*by, "state").agg(F.countDistinct("sample").alias("all_samples"))
     checks = samples.select(*by, "check").distinct()
     rows = states.join(checks, by).join(said, [*by, "state", "check"], "left")
     status = (
         F.when(F.coalesce("samples", F.lit(0)) == 0, "absent").when(F.col("samples") < F.col("all_samples"), "flaky")
-        .when(F.col("kinds") > 1, "flaky").otherwise(F.coalesce("status", F.lit("unknown"))))
+        .when(F.col("mixed"), "flaky").otherwise(F.coalesce("status", F.lit("unknown"))))
     return rows.select(*by, "state", "check", status.alias("status"), F.coalesce("samples", F.lit(0)).alias("samples"))
 
 

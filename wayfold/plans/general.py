@@ -396,9 +396,17 @@ def status_marks(spark, d):
 _SAMPLE = "sm as (select l_suppkey as trial, l_orderkey % 7 as state, l_orderkey as sample, l_linenumber as chk, min(l_returnflag) as status from lineitem group by all)"
 
 
+#: Rows of a task where a table is dealt out by its size.
+PART_ROWS = 500_000
+
+
 def _samples(spark, d, states: int = 7) -> DataFrame:
+    """Dealt once by trial and state, which every later group of rows has in its key; as many parts as the rows ask for, so that a task's share
+    does not grow with the table."""
     rows = read(spark, d, "lineitem")
-    return rows.groupBy(F.col("l_suppkey").alias("trial"), (F.col("l_orderkey") % states).alias("state"), F.col("l_orderkey").alias("sample"), F.col("l_linenumber").alias("check")).agg(F.min("l_returnflag").alias("status"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // PART_ROWS)
+    rows = rows.select(F.col("l_suppkey").alias("trial"), (F.col("l_orderkey") % states).alias("state"), F.col("l_orderkey").alias("sample"), F.col("l_linenumber").alias("check"), "l_returnflag")
+    return rows.repartition(parts, "trial", "state").groupBy("trial", "state", "sample", "check").agg(F.min("l_returnflag").alias("status"))
 
 
 @query("stat_quorum_verdict", f"with {_SAMPLE}, st as (select trial, state, count(distinct sample) as a from sm group by all), ck as (select distinct trial, chk from sm) select st.trial, st.state, ck.chk as \"check\", case when count(sm.sample) = 0 then 'absent' when count(distinct sm.sample) < any_value(a) or count(distinct status) > 1 then 'flaky' else min(status) end as status, count(distinct sm.sample) as samples from st join ck using (trial) left join sm on sm.trial = st.trial and sm.state = st.state and sm.chk = ck.chk group by st.trial, st.state, ck.chk")
