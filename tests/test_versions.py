@@ -63,3 +63,14 @@ def test_excluded_labels_passes(spark):
     assert [tuple(r) for r in versions.first_passes(classes, points, ["t"]).collect()] == [("t", "b", 2)]
     replays = spark.createDataFrame([("a", True, False)] * 3 + [("b", True, True)] * 3 + [("c", True, False)], "f string, fixed boolean, broke_any boolean")
     assert {r.f: r.confirms for r in versions.confirmed(replays, ["f"], 3).collect()} == {"a": True, "b": False, "c": False}
+
+
+def test_a_long_hunk_is_split_once(spark):
+    import time
+
+    lines = [f"{' -+'[i % 3]}{i}" for i in range(20_000)]
+    df = spark.createDataFrame([("--- a\n+++ b\n@@ -1,1 +1,1 @@\n" + "\n".join(lines) + "\n",)], "h string")
+    began = time.perf_counter()
+    v = df.select(versions.hunk_versions(F.col("h")).alias("v")).first().v
+    assert time.perf_counter() - began < 10
+    assert [v.before, v.after] == ["".join(x[1:] + "\n" for x in lines if x[0] in f" {tag}") for tag in "-+"]

@@ -59,8 +59,10 @@ def hunk_versions(hunk: Column) -> Column:
     An empty hunk is two empty texts; null, or a text that is no whole-file hunk, is null."""
     rows = F.split(hunk, "\n", -1)
     body = F.slice(rows, F.lit(4), F.greatest(F.size(rows) - 4, F.lit(0)))
-    named = F.transform(body, lambda x, i: F.struct(F.left(x, F.lit(1)).alias("tag"), F.concat(
-        x.substr(F.lit(2), F.length(x)), F.when(F.coalesce(F.get(body, i + 1) == NO_END, F.lit(False)), "").otherwise("\n")).alias("line")))
+    # Each line with the next one; an array looked up within the lambda would be made anew for every line.
+    following = F.slice(rows, F.lit(5), F.greatest(F.size(rows) - 5, F.lit(0)))
+    named = F.zip_with(body, following, lambda x, y: F.struct(F.left(x, F.lit(1)).alias("tag"), F.concat(
+        x.substr(F.lit(2), F.length(x)), F.when(F.coalesce(y == NO_END, F.lit(False)), "").otherwise("\n")).alias("line")))
     side = lambda tag: F.array_join(F.transform(F.filter(named, lambda x: x["tag"].isin(" ", tag)), lambda x: x["line"]), "")
     whole = (F.size(rows) > 4) & F.get(rows, F.lit(0)).startswith("--- ") & F.get(rows, F.lit(1)).startswith("+++ ") & F.get(rows, F.lit(2)).rlike(
         r"^@@ -[01](?:,\d+)? \+[01](?:,\d+)? @@") & ~F.exists(F.slice(named, 1, F.size(named)), lambda x: ~x["tag"].isin(" ", "-", "+", "\\"))
