@@ -404,3 +404,12 @@ def test_bootstrap_does_not_depend_on_partitions(spark):
     mean = sum(values) / len(values)
     sd = (sum((v - mean) ** 2 for v in values) / len(values)) ** 0.5 / len(values) ** 0.5
     assert got[0].low == pytest.approx(mean - 1.96 * sd, abs=0.35 * sd) and got[0].high == pytest.approx(mean + 1.96 * sd, abs=0.35 * sd)
+
+
+def test_the_end_of_event_time_is_one_row_not_one_for_each_event(spark, monkeypatch):
+    from wayfold.plans import rebuild
+
+    monkeypatch.setattr(stateful, "timeouts", lambda rows, hold_ms: rows.select("call_id", F.col("kind").alias("outcome"), F.col("arrived").alias("at")))
+    monkeypatch.setattr(stateful, "outcomes", lambda out: out.withColumn("call_id", F.when(F.col("call_id") == "end", "last").otherwise(F.col("call_id"))))
+    e = spark.read.parquet(f"{SF}/events.parquet")
+    assert rebuild.stream_timeout(spark, SF).where("call_id = 'last'").count() == e.where(F.col("ts") == e.agg(F.max("ts")).first()[0]).count()

@@ -197,10 +197,12 @@ register("stream_checker", stream_checker, _flags_sql())
 
 @query("stream_timeout", "select user_id::varchar || ':' || (json_extract_string(props, '$.k')::int % 10) as call_id, case when bool_or(event_type = 'purchase') then 'answered' else 'timed_out' end as outcome from events where event_type in ('error', 'purchase') group by 1")
 def stream_timeout(spark, d):
-    """Errors as timeout markers, purchases as records of calls. One last marker, of a call of its own, moves event time past all waits."""
+    """Errors as timeout markers, purchases as records of calls. One last marker, of a call of its own, moves event time past all waits; the last
+    events make it, not all of them, which would come to one task."""
     call = F.concat_ws(":", F.col("user_id").cast("string"), (F.get_json_object("props", "$.k").cast("int") % 10).cast("string"))
     rows = _stream(spark, d).where("event_type in ('error', 'purchase')").select(call.alias("call_id"), F.when(F.col("event_type") == "error", "timeout").otherwise("record").alias("kind"), F.col("at").alias("arrived"))
-    later = _stream(spark, d).select(F.lit("end").alias("call_id"), F.lit("record").alias("kind"), (F.col("at") + F.expr("interval 30 days")).alias("arrived"))
+    last = read(spark, d, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("us")).first().us
+    later = _stream(spark, d).where(F.unix_micros("at") == F.lit(last).cast("long")).select(F.lit("end").alias("call_id"), F.lit("record").alias("kind"), (F.col("at") + F.expr("interval 30 days")).alias("arrived"))
     emitted = _append(spark, stateful.timeouts(rows.unionByName(later), 3_600_000))
     return stateful.outcomes(emitted).where("call_id <> 'end'")
 
