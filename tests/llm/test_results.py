@@ -45,6 +45,15 @@ def test_components_against_union_find(spark):
     assert got == roots(used, [p for p in pairs if p[0] != p[1]])
 
 
+def test_components_that_are_stars_take_no_pass(spark, monkeypatch):
+    wrote, cut = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: wrote.append(cut(df)) or wrote[-1])
+    stars = [(9 * i, 9 * i + j) for i in range(20) for j in range(1, 9)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(stars, "a int, b int")).collect()}
+    assert got == {i: i - i % 9 for i in range(180)}
+    assert len(wrote) == 1
+
+
 def test_op1_rules_and_aliases(spark):
     rows = [
         (1, "http://a.b.NET/x", ""), (2, "https://c.com/1?q#f", '<link rel="canonical" href="http://a.b.net/x">'),

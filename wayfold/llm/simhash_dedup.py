@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayfold.llm import simhash_similar as similar
-from wayfold.llm.common import cut, row_key, with_totals
+from wayfold.llm.common import cut, row_key, shuffles_dropped, with_totals
 from wayfold.llm.components import connected_components
 from wayfold.llm.runs import forest, run_slices, whole_runs
 
@@ -166,7 +166,8 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
     """(key, row_key, row_key2, component, other) of every row; other is null but for the second of two texts with one hash. Two texts are linked if their fingerprints differ in `max_bits`
     bits or fewer, as in classes(), or if they have `least` or more of their five-word shingles in common."""
     marked = cut(similar_marks(docs, key, text))
-    distinct = cut(marked.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(F.struct("words", "fp", "wide", "keys", "levels", "shingles")).alias("m")).select("node", "row_key", "m.*"))
+    with shuffles_dropped(docs.sparkSession):
+        distinct = cut(marked.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min(F.struct("words", "fp", "wide", "keys", "levels", "shingles")).alias("m")).select("node", "row_key", "m.*"))
     rows = docs.select(row_key(key, text).alias("row_key"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
 
     def texts(pairs: DataFrame) -> DataFrame:
@@ -177,7 +178,8 @@ def similar_classes(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
 
     alike = similar.alike(distinct, texts, least)
     # Fingerprints stand for the least node that has them.
-    own = cut(distinct.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
+    with shuffles_dropped(docs.sparkSession):
+        own = cut(distinct.groupBy("fp").agg(F.min("node").alias("head"), F.count("*").alias("n")))
     same = with_totals(distinct.select("fp", "node"), own.where("n > 1").select("fp", "head"), "fp").where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     heads = own.select("fp", "head")
     bits = links(heads.select("fp"), own.count(), max_bits)

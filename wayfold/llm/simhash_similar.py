@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import with_totals, written
+from wayfold.llm.common import shuffles_dropped, with_totals, written
 from wayfold.llm.components import connected_components
 from wayfold.llm.runs import forest, run_slices, whole_runs
 
@@ -241,22 +241,32 @@ def further(broken: DataFrame, first: int, last: int, least: float = LEAST, most
 
 def alike(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], least: float = LEAST, most: int = BITS) -> DataFrame:
     """(a, b): verified pairs that link what all verified near pairs of all runs link; texts(pairs) are the (node, text) of their ends."""
+    with shuffles_dropped(distinct.sparkSession):
+        return _alike(distinct, texts, least, most)
+
+
+def _alike(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], least: float, most: int) -> DataFrame:
     found = written(trees(distinct, most))
     pairs = written(_ordered(found.where("parent is not null").select(F.col("parent").alias("a"), F.col("node").alias("b"))))
     good, tried = written(verified(pairs, texts(pairs), least)), pairs
     # In a tree of two rows the one pair was tried.
     rest, first, last = found.where("size > 2").select("tree", "node", *_LONGS), 0, FIRST
-    told = distinct.select("node", "levels", "shingles")
+    told, more = distinct.select("node", "levels", "shingles"), True
     while True:
-        named = connected_components(good).select(F.col("node").alias("_n"), "component")
-        rows = rest.join(named, rest.node == F.col("_n"), "left").select("tree", "node", F.coalesce("component", "node").alias("component"), *_LONGS)
-        whole = rows.groupBy("tree").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
-        broken = written(with_totals(rows, whole.where(F.col("x") != F.col("y")).where(F.col("n") > first + 1).select("tree", "n"), "tree"))
+        # Where nothing more was linked, components are what they were, and trees only drop out by their length.
+        if more:
+            named = connected_components(good).select(F.col("node").alias("_n"), "component")
+            rows = rest.join(named, rest.node == F.col("_n"), "left").select("tree", "node", F.coalesce("component", "node").alias("component"), *_LONGS)
+            whole = rows.groupBy("tree").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"))
+            broken = written(with_totals(rows, whole.where(F.col("x") != F.col("y")).where(F.col("n") > first + 1).select("tree", "n"), "tree"))
+        else:
+            broken = broken.where(F.col("n") > first + 1)
         longest = broken.agg(F.max("n")).first()[0]
         if longest is None:
             return good
-        rest = broken.select("tree", "node", *_LONGS)
-        told = written(told.join(rest.select("node").distinct(), "node", "left_semi"))
+        if more:
+            rest = broken.select("tree", "node", *_LONGS)
+            told = written(told.join(rest.select("node").distinct(), "node", "left_semi"))
         while True:
             pairs = written(further(broken.join(told, "node"), first, last, least, most).join(tried, ["a", "b"], "left_anti"))
             first, last = last, last * (GROWTH + 1)
@@ -265,7 +275,9 @@ def alike(distinct: DataFrame, texts: Callable[[DataFrame], DataFrame], least: f
             if first >= longest - 1:
                 return good
         tried = tried.unionByName(pairs)
-        good = good.unionByName(written(verified(pairs, texts(pairs), least)))
+        fresh = written(verified(pairs, texts(pairs), least))
+        more = not fresh.isEmpty()
+        good = good.unionByName(fresh) if more else good
 
 
 def dealt(pairs: DataFrame, cell_pairs: int = CELL_PAIRS) -> DataFrame:
