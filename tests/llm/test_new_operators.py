@@ -1,8 +1,10 @@
 """Operators 11 to 13 against brute force, and on odd rows."""
 
 import hashlib
+import os
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -145,6 +147,25 @@ def test_op12_many_buckets_and_names_of_many_languages(spark):
     assert len(names) == len(set(names))
 
 
+def test_op12_gives_its_disk_back(spark):
+    """What is left is what the result reads: named phrases and counts, no lists of where names are and no shuffle files."""
+    from wayfold.llm.common import checkpoint_dir
+
+    folder = checkpoint_dir(spark).removeprefix("file:")
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    shuffles = lambda: {f for d, _, fs in os.walk(local) for f in fs if re.fullmatch(r"shuffle_.*\.data", f)}
+    cuts, files = {d for d in os.listdir(folder) if d.startswith("cut-")}, shuffles()
+    rows = [(i, "the same words again and again, and some more", "en") for i in range(40)]
+    tables, n = collocation.phrases(spark.createDataFrame(rows, DOCS), min_count=5, block_words=50)
+    left = {d: set(spark.read.parquet(f"{folder}/{d}").columns) for d in os.listdir(folder) if d.startswith("cut-") and d not in cuts}
+    assert len(left) == 1 + len(tables) and not any(c & {"at", "names", "codes"} for c in left.values())
+    for _ in range(50):
+        if not (new := shuffles() - files):
+            break
+        time.sleep(0.2)
+    assert not new
+
+
 def test_op12_first_of_each_language(spark):
     rows = [(i, "a b c d e f g h i j k l m n o p", lang) for i in range(3) for lang in ("en", "de")]
     docs = spark.createDataFrame([*rows, *[(9, f"{x} {y}", "en") for x in "abc" for y in "defg" for _ in range(3)]], DOCS)

@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wayfold.llm.common import Kept, with_totals
+from wayfold.llm.common import Kept, shuffles_dropped, with_totals
 from wayfold.llm.runs import whole_runs
 
 #: Fixed by the result contract: words of a phrase, least count, rows for each language.
@@ -244,24 +244,33 @@ def phrases(docs: DataFrame, max_words: int = MAX_WORDS, min_count: int = MIN_CO
     """Tables of named phrases of 1, 2, ... words, and (lang, n), the words of each language.
 
     Words: (name, lang, word, f). Longer ones: (name, x, y, f), x and y the names of all but the last word and of all but the first."""
+    with shuffles_dropped(docs.sparkSession):
+        return _phrases(docs, max_words, min_count, block_words, bucket_chars)
+
+
+def _phrases(docs: DataFrame, max_words: int, min_count: int, block_words: int, bucket_chars: int) -> tuple[list[DataFrame], DataFrame]:
     texts = docs.where(F.col("`text`").isNotNull()).select(F.coalesce(F.col("`lang`"), F.lit("und")).alias("lang"), F.col("`text`").alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parts, (texts.agg(F.sum(F.length("text"))).first()[0] or 0) // bucket_chars)
     encoded = Kept(texts.mapInPandas(_encode(block_words, buckets), _ENCODED))
     n = Kept(encoded.rows.where("codes is not null").select(F.explode("n").alias("lang", "n")).groupBy("lang").agg(F.sum("n").alias("n"))).rows
     by_bucket = lambda rows: rows.repartition(parts, "bucket").sortWithinPartitions("bucket")
+    # What names stand for is small and is kept; where they are is only for the next blocks.
+    meant = lambda named, *cols: Kept(named.rows.where("name is not null").select("name", *cols, "f")).rows
     lists = encoded.rows.where("codes is null").select("block", "bucket", "lang", "list", "x", "times")
     named = Kept(by_bucket(lists).mapInPandas(_name_words(min_count), _NAMED))
-    tables, blocks = [named.rows.where("name is not null").select("name", "lang", "word", "f")], encoded
+    tables, blocks = [meant(named, "lang", "word")], encoded
     for k in range(2, max_words + 1):
         own = blocks.rows.where("codes is not null").select("block", "codes", *(["order", "starts"] if k == 2 else ["names"]))
         names = named.rows.where("name is null").select("block", "bucket", "list", "at", "names")
         taken = Kept(own.groupBy("block").cogroup(names.groupBy("block")).applyInPandas(_take_names(None if k == 2 else buckets), _BLOCK))
         blocks.drop()
+        named.drop()
         blocks = taken
         named = Kept(by_bucket(blocks.rows.mapInPandas(_list_pairs(buckets), _LIST)).mapInPandas(_name_pairs(min_count), _NAMED))
-        tables.append(named.rows.where("name is not null").select("name", "x", "y", "f"))
+        tables.append(meant(named, "x", "y"))
     blocks.drop()
+    named.drop()
     return tables, n
 
 
