@@ -75,3 +75,13 @@ def test_no_events_and_no_steps(spark, steps):
 def test_hashes_of_a_command(spark):
     rows = spark.createDataFrame([("a >NUL",), ("a $x >nul",), ("a >nullable",), (None,)], "c string").select(F.size(writers.command_hashes(F.col("c"))).alias("n"))
     assert [r.n for r in rows.collect()] == [2, 1, 1, 0]
+
+
+def test_commands_are_hashed_once(spark, capsys):
+    """What is found for shells reads written hashes, and hashes no command again each time it reads them."""
+    steps = spark.createDataFrame([("t", 1, "Bash", "a >NUL", 0, 9), ("t", 2, "Bash", "b", 10, 19), ("t", 3, "Bash", "b", 20, 29)], "trial_id string, step_idx int, tool string, command string, t_start long, t_end long")
+    shells = spark.createDataFrame([("t", 1, None, sha("a >/dev/null")), ("t", 2, None, sha("a >NUL")), ("t", 3, 2_000_000, sha("b")), ("t", 4, None, sha("c"))], "trial_id string, pid int, started_at long, command_sha256 string")
+    found = writers.by_command(shells, steps)
+    found.explain("extended")
+    assert "sha2(" not in capsys.readouterr().out
+    assert {r.pid: r.command_step for r in found.collect()} == {1: 1, 2: 1, 3: 3, 4: None}
